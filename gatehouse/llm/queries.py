@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gatehouse.llm import mixing, url_filter
+from gatehouse.llm import mixing, simhash, url_filter
 from gatehouse.llm.oracle import ORACLES
 
 RULES = [
@@ -27,13 +27,17 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _read(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.filter_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_mixing, op9_url_filter]
+    found = [op4_mixing, op8_simhash, op9_url_filter]
     return {f.__name__: f for f in found}
 
 
