@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatehouse.llm import mixing, packing, simhash, url_filter
+from gatehouse.llm import mixing, packing, simhash, toxicity, url_filter
 from gatehouse.llm.oracle import ORACLES
 
 RULES = [
@@ -24,6 +24,13 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, _read(spark, sf_dir, "labels"))
+    held_out = (toxicity.fold(F.col("doc_id")) == 0).alias("held_out")
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held_out, "score", "predicted")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     crc = F.crc32("ids").alias("ids_crc32")
@@ -45,7 +52,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_packing, op4_mixing, op8_simhash, op9_url_filter]
+    found = [op1_toxicity, op3_packing, op4_mixing, op8_simhash, op9_url_filter]
     return {f.__name__: f for f in found}
 
 
