@@ -62,6 +62,10 @@ class Scratch:
             if path:
                 self._delete(path)
 
+    def release(self) -> None:
+        """Have the JVM look for garbage now: Spark deletes shuffle files only once their plans are collected."""
+        self.spark._jvm.System.gc()
+
     def close(self) -> None:
         try:
             self._delete(self.root)

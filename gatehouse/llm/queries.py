@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatehouse.llm import mixing, packing, simhash, toxicity, url_filter
+from gatehouse.llm import mixing, packing, simhash, suffix_dedup, toxicity, url_filter
 from gatehouse.llm.oracle import ORACLES
+from gatehouse.sources.shipping import ship
 
 RULES = [
     url_filter.Rule("block", "com", "/en/"),
@@ -21,6 +22,7 @@ RULES = [
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -42,6 +44,11 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -52,7 +59,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op3_packing, op4_mixing, op8_simhash, op9_url_filter]
+    found = [op1_toxicity, op3_packing, op4_mixing, op5_suffix_dedup, op8_simhash, op9_url_filter]
     return {f.__name__: f for f in found}
 
 
