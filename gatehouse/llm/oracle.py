@@ -68,4 +68,31 @@ SELECT r.doc_id, r.size, r.words AS source_size, r.target,
 FROM run r LEFT JOIN filler f ON r.source IS NOT DISTINCT FROM f.source
 """
 
-ORACLES = {"op9_url_filter": _URL, "op4_mixing": _MIX}
+_LINES = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no
+  FROM documents WHERE text IS NOT NULL
+), f AS (
+  SELECT doc_id, no, line, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS k
+  FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), w AS (
+  SELECT doc_id, k, line || chr(10) || lead(line, 1) OVER d || chr(10) || lead(line, 2) OVER d AS name
+  FROM f WINDOW d AS (PARTITION BY doc_id ORDER BY k)
+), later AS (
+  SELECT doc_id, k FROM (
+    SELECT doc_id, k, row_number() OVER (PARTITION BY name ORDER BY doc_id, k) AS nth FROM w WHERE name IS NOT NULL
+  ) WHERE nth > 1
+), gone AS (
+  SELECT DISTINCT doc_id, k + o AS k FROM later, (VALUES (0), (1), (2)) t(o)
+), kept AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.no) FILTER (WHERE g.k IS NULL) AS text,
+         count(f.k)::BIGINT AS n_lines, count(g.k)::BIGINT AS n_deleted
+  FROM l LEFT JOIN f ON l.doc_id = f.doc_id AND l.no = f.no LEFT JOIN gone g ON f.doc_id = g.doc_id AND f.k = g.k
+  GROUP BY l.doc_id
+)
+SELECT d.doc_id, coalesce(k.n_lines, 0) AS n_lines, coalesce(k.n_deleted, 0) AS n_deleted,
+       sha256(coalesce(k.text, '')) AS kept_sha256
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
+ORACLES = {"op6_line_dedup": _LINES, "op9_url_filter": _URL, "op4_mixing": _MIX}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatehouse.llm import mixing, packing, simhash, suffix_dedup, toxicity, url_filter
+from gatehouse.llm import line_dedup, mixing, packing, simhash, suffix_dedup, toxicity, url_filter
 from gatehouse.llm.oracle import ORACLES
 from gatehouse.sources.shipping import ship
 
@@ -49,6 +49,11 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = line_dedup.delete_repeated_runs(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -59,7 +64,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op3_packing, op4_mixing, op5_suffix_dedup, op8_simhash, op9_url_filter]
+    found = [op1_toxicity, op3_packing, op4_mixing, op5_suffix_dedup, op6_line_dedup, op8_simhash, op9_url_filter]
     return {f.__name__: f for f in found}
 
 

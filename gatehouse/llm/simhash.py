@@ -64,17 +64,20 @@ def fingerprint(text: str | None, width: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(batch.num_columns - 1)
-        prints = np.array([fingerprint(t.as_py()) for t in texts], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints, pa.int64())], names=[*batch.schema.names[:-1], "fp"])
+def _fingerprints(width: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            prints = np.array([fingerprint(t.as_py(), width) for t in texts], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints, pa.int64())], names=[*batch.schema.names[:-1], "fp"])
 
+    return rows
 
-def with_fingerprints(docs: DataFrame, columns: list[tuple[Column, str]], text: Column) -> DataFrame:
+
+def with_fingerprints(docs: DataFrame, columns: list[tuple[Column, str]], text: Column, width: int = SHINGLE) -> DataFrame:
     """The named columns and ``fp``, the fingerprint as a signed 64-bit integer."""
     rows = docs.select(*[c.alias(n) for c, n in columns], text.alias("_text"))
-    return rows.mapInArrow(_fingerprints, T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())]))
+    return rows.mapInArrow(_fingerprints(width), T.StructType([*rows.schema.fields[:-1], T.StructField("fp", T.LongType())]))
 
 
 class BKTree:
@@ -184,7 +187,7 @@ def link_fingerprints(prints: DataFrame, scratch: Scratch, radius: int = 2, shar
 
 
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shard_rows: int = 512, carry: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shard_rows: int = 512, carry: bool = False, shingle: int = SHINGLE
 ) -> DataFrame:
     """``id_col``, ``fingerprint`` (16 hexadecimal digits) and ``component_id``, one row per document.
 
@@ -195,7 +198,7 @@ def near_duplicates(
     kept = [c for c in docs.columns if c not in added or c in (id_col, text_col)] if carry else [id_col]
     inner = {c: f"d{i}" for i, c in enumerate(kept)}
     at = inner[id_col]
-    rows = with_fingerprints(docs, [(F.col(f"`{c}`"), a) for c, a in inner.items()], F.col(f"`{text_col}`"))
+    rows = with_fingerprints(docs, [(F.col(f"`{c}`"), a) for c, a in inner.items()], F.col(f"`{text_col}`"), shingle)
     rows = scratch.save(rows.withColumn("uid", F.monotonically_increasing_id()), "prints")
     # every group of equal fingerprints is one vertex; its name is its smallest id
     first = scratch.save(rows.groupBy("fp").agg(F.min(F.struct(F.col(at).isNull().alias("none"), F.col(at).alias("id"), "uid")).alias("first")), "first")
