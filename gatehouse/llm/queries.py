@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatehouse.llm import line_dedup, mixing, packing, simhash, suffix_dedup, toxicity, url_filter
+from gatehouse.llm import embedding_dedup, line_dedup, mixing, neighbours, packing, simhash, suffix_dedup, toxicity, url_filter
 from gatehouse.llm.oracle import ORACLES
 from gatehouse.sources.shipping import ship
 
@@ -33,6 +33,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", held_out, "score", "predicted")
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link_embeddings(_read(spark, sf_dir, "embeddings"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     crc = F.crc32("ids").alias("ids_crc32")
@@ -63,8 +67,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op3_packing, op4_mixing, op5_suffix_dedup, op6_line_dedup, op8_simhash, op9_url_filter]
+    found = [op1_toxicity, op2_embedding_dedup, op3_packing, op4_mixing, op5_suffix_dedup, op6_line_dedup, op8_simhash, op9_url_filter, op10_neighbours]
     return {f.__name__: f for f in found}
 
 
