@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatehouse.llm import embedding_dedup, line_dedup, mixing, neighbours, packing, simhash, suffix_dedup, toxicity, url_filter
+from gatehouse.llm import embedding_dedup, line_dedup, mixing, neighbours, packing, simhash, suffix_dedup, toxicity, url_filter, wordpiece
 from gatehouse.llm.oracle import ORACLES
 from gatehouse.sources.shipping import ship
 
@@ -58,6 +58,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("doc_id", "n_lines", "n_deleted", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return wordpiece.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "n_words", "n_tokens")
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
@@ -72,7 +77,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_toxicity, op2_embedding_dedup, op3_packing, op4_mixing, op5_suffix_dedup, op6_line_dedup, op8_simhash, op9_url_filter, op10_neighbours]
+    found = [op1_toxicity, op2_embedding_dedup, op3_packing, op4_mixing, op5_suffix_dedup, op6_line_dedup, op7_token_counts, op8_simhash, op9_url_filter, op10_neighbours]
     return {f.__name__: f for f in found}
 
 

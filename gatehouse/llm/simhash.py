@@ -16,6 +16,12 @@ reachability is all that the components need.
 Trees are sent to the tasks that can have an answer in them, not to all tasks: broadcasting every shard to every
 query would compare each fingerprint with each shard and grow with the square of the corpus.
 
+Wider radii: with ``similarity`` set, links are pairs whose shingle sets have at least that Jaccard similarity, and
+fingerprints only propose them.  At 0.8 those differ in up to ``wide_radius`` bits, too many for whole blocks to agree,
+so the shards are named by ``tables`` seeded samples of the bits, of a size that follows the number of fingerprints
+(a pair that differs in 10 bits is missed by all of 40 samples of 13 bits with a probability near 3 %).  Each shard's
+forest is grown in an order of its own, and every edge is then checked exactly on the shingle sets of both texts.
+
 Edge cases: null and empty texts have fingerprint zero and are linked like any other; repeated rows share a
 fingerprint, hence a component; rows with a null id are fingerprinted but never name a component unless no row of
 it has an id; an empty table gives an empty result; other columns pass through, except those named like a result
@@ -35,8 +41,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gatehouse.llm._scratch import Scratch
+from gatehouse.llm._scratch import Scratch, small
 from gatehouse.llm.components import components
+from gatehouse.llm.vectors import cells
 
 SEED = 42
 SHINGLE = 3
@@ -152,6 +159,17 @@ def _cell_links(radius: int):
     return links
 
 
+def _spread() -> Column:
+    """The cells of a row of ``part`` out of ``parts``: in cell (p, q), p <= q, the tree of part p meets part q."""
+    return F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1),
+        lambda q: F.struct(
+            F.least(q, F.col("part")).alias("p"), F.greatest(q, F.col("part")).alias("q"),
+            F.when(q == F.col("part"), 2).when(q > F.col("part"), 0).otherwise(1).alias("side"),
+        ),
+    )
+
+
 def _shards(prints: DataFrame, radius: int, shard_rows: int, scratch: Scratch) -> DataFrame:
     """``(cell columns, fp, side)``: each fingerprint in every cell where a partner could be."""
     blocks = radius + 2
@@ -168,15 +186,7 @@ def _shards(prints: DataFrame, radius: int, shard_rows: int, scratch: Scratch) -
     rows = rows.join(sizes.select("kind", "value", "parts"), ["kind", "value"])
     part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     rows = rows.withColumn("part", part)
-    # cell (p, q), p <= q: tree of part p, queries from part q; p = q is the part with itself
-    spread = F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1),
-        lambda q: F.struct(
-            F.least(q, F.col("part")).alias("p"), F.greatest(q, F.col("part")).alias("q"),
-            F.when(q == F.col("part"), 2).when(q > F.col("part"), 0).otherwise(1).alias("side"),
-        ),
-    )
-    return rows.select("kind", "value", "fp", F.explode(spread).alias("c")).select("kind", "value", "c.p", "c.q", "c.side", "fp")
+    return rows.select("kind", "value", "fp", F.explode(_spread()).alias("c")).select("kind", "value", "c.p", "c.q", "c.side", "fp")
 
 
 def link_fingerprints(prints: DataFrame, scratch: Scratch, radius: int = 2, shard_rows: int = 512) -> DataFrame:
@@ -186,12 +196,81 @@ def link_fingerprints(prints: DataFrame, scratch: Scratch, radius: int = 2, shar
     return scratch.save(found.distinct(), "links")
 
 
+def _masks(bits: int, tables: int, seed: int = 11) -> list[int]:
+    """Signed 64-bit masks of ``bits`` sampled bits each."""
+    rng = np.random.default_rng(seed)
+    masks = [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)]
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
+def _cell_forests(radius: int):
+    def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in cells(batches):
+            if cell.num_rows < 2:
+                continue
+            side, prints = cell.column("side").to_numpy(), cell.column("fp").to_numpy().view(np.uint64)
+            # the order within a shard depends on the shard, so shards propose different edges of one group
+            spin = np.uint64(int(cell.column("kind")[0].as_py()) * 2 + 1) * np.uint64(0x9E3779B97F4A7C15)
+            order = np.argsort(prints * spin, kind="stable")
+            prints, side = prints[order], side[order]
+            other = prints[side == 1].tolist()
+            edges = _forest(prints[side != 1].tolist(), other or None, radius) if (side != 1).any() else []
+            pairs = np.array(edges, dtype=np.uint64).reshape(-1, 2)
+            low, high = pairs.min(axis=1, initial=2**64 - 1), pairs.max(axis=1, initial=0)
+            yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(high.view(np.int64))], names=["a", "b"])
+
+    return forests
+
+
+def _proposals(prints: DataFrame, scratch: Scratch, radius: int, tables: int, shard_rows: int, fill: int = 32) -> DataFrame:
+    """Edges ``(a, b)`` of fingerprints within ``radius`` that meet in a sampled shard: a forest per shard."""
+    bits = max(8, (prints.count() // fill).bit_length())
+    keys = [F.struct(F.lit(n).alias("kind"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for n, m in enumerate(_masks(bits, tables))]
+    rows = prints.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.kind", "k.value")
+    large = rows.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_rows)
+    large = scratch.save(large.select(F.col("kind").alias("k"), F.col("value").alias("v"), F.ceil(F.col("n") / shard_rows).cast("int").alias("parts")), "large")
+    rows = rows.join(small(large), (F.col("kind") == F.col("k")) & (F.col("value") == F.col("v")), "left")
+    rows = rows.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    met = rows.select("kind", "value", "fp", F.explode(_spread()).alias("c"))
+    met = met.select(F.concat_ws("/", "kind", "value", "c.p", "c.q").alias("cell"), "kind", "c.side", "fp")
+    found = met.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_forests(radius), "a long, b long")
+    return scratch.save(found.distinct(), "proposals")
+
+
+def _shingle_sets(width: int):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for text in batch.column(1):
+                words = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
+                n = max(1, len(words) - width + 1) if words else 0
+                found.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(n)], dtype=np.uint64)).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["fp", "grams"])
+
+    return sets
+
+
+def _checked(edges: DataFrame, texts: DataFrame, scratch: Scratch, width: int, similarity: float) -> DataFrame:
+    """Those edges whose texts (``fp, text``, one each) have shingle sets of at least the Jaccard similarity."""
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    sets = texts.join(nodes, F.col("fp") == F.col("node")).select("fp", "text").mapInArrow(_shingle_sets(width), "fp long, grams array<long>")
+    sets = scratch.save(sets, "sets")
+    left, right = sets.toDF("l", "l_grams"), sets.toDF("r", "r_grams")
+    both = edges.join(left, F.col("a") == F.col("l")).join(right, F.col("b") == F.col("r"))
+    shared = F.size(F.array_intersect("l_grams", "r_grams"))
+    held = scratch.save(both.where(shared >= similarity * (F.size("l_grams") + F.size("r_grams") - shared)).select("a", "b"), "checked")
+    scratch.drop(sets)
+    return held
+
+
 def near_duplicates(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shard_rows: int = 512, carry: bool = False, shingle: int = SHINGLE
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shard_rows: int = 512, carry: bool = False, shingle: int = SHINGLE,
+    similarity: float | None = None, wide_radius: int = 14, tables: int = 40,
+) -> DataFrame:
     """``id_col``, ``fingerprint`` (16 hexadecimal digits) and ``component_id``, one row per document.
 
     ``carry`` keeps the other columns too, and adds ``keeper``: true for one document of each component.
+    ``similarity`` replaces the radius by an exact check of shingle sets, see above; it needs ``carry``.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     added = ("fingerprint", "component_id", "keeper")
@@ -202,7 +281,13 @@ def near_duplicates(
     rows = scratch.save(rows.withColumn("uid", F.monotonically_increasing_id()), "prints")
     # every group of equal fingerprints is one vertex; its name is its smallest id
     first = scratch.save(rows.groupBy("fp").agg(F.min(F.struct(F.col(at).isNull().alias("none"), F.col(at).alias("id"), "uid")).alias("first")), "first")
-    links = link_fingerprints(first.select("fp"), scratch, radius, shard_rows)
+    if similarity is None:
+        links = link_fingerprints(first.select("fp"), scratch, radius, shard_rows)
+    else:
+        edges = _proposals(first.select("fp"), scratch, wide_radius, tables, shard_rows)
+        heads = first.select(F.col("first.uid").alias("head"))
+        texts = rows.join(heads, F.col("uid") == F.col("head")).select("fp", F.col(inner[text_col]).alias("text"))
+        links = _checked(edges, texts, scratch, shingle, similarity)
     groups = components(links, scratch)
     named = first.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     heads = named.groupBy(F.col("component").alias("c")).agg(F.min("first").alias("head"))

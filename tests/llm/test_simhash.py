@@ -90,3 +90,29 @@ def test_components_of_paths_stars_and_rings(spark):
     for n, c in got.items():
         groups[c].add(n)
     assert groups == {0: set(range(41)), 100: set(range(100, 140)), 200: {200, 201, 202}}
+
+
+def test_similarity_against_all_pairs(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(5000)]
+    rows = [(0, None, "x"), (1, "", "x"), (2, "a b", "x"), (3, "a b", "y"), (4, "a c", "x")]
+    for group in range(40):
+        base = [rng.choice(words) for _ in range(200)]
+        for _ in range(3):
+            text = list(base)
+            for _ in range(rng.randrange(7)):
+                text[rng.randrange(200)] = rng.choice(words)
+            rows.append((len(rows), " ".join(text), "x"))
+    grams = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").split()) else set() for i, t, _ in rows}
+    parent = {i: i for i, _, _ in rows}
+    for n, (i, _, _) in enumerate(rows):
+        for j, _, _ in rows[:n]:
+            a, b = grams[i], grams[j]
+            if a == b or len(a & b) >= 0.8 * len(a | b):
+                x, y = sorted((parent[i], parent[j]))
+                parent = {k: x if v == y else v for k, v in parent.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, keeper string")
+    for shard_rows in (8, 512):
+        got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, carry=True, shingle=5, similarity=0.8, shard_rows=shard_rows).collect()}
+        assert all(parent[i] == parent[c] for i, c in got.items())  # never too much
+        assert sum(got[i] == parent[i] for i in got) >= 0.98 * len(rows)
