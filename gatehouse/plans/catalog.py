@@ -1,11 +1,648 @@
-"""The query catalogue."""
+"""The query catalogue: every operator on the driver's tables, with its DuckDB counterpart where SQL has one."""
 
-FLAGSHIP = ""
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
+from gatehouse.functions import antibody as ab
+from gatehouse.functions import sequences as S
+from gatehouse.operators import gates, geometry, leakage, loop, models, repair, rules, screens
+from gatehouse.operators import statistics as st
+from gatehouse.plans import registry
+from gatehouse.plans.sql import SQL
+from gatehouse.sources.shipping import ship
+from gatehouse.streaming import readouts
 
-def oracle_sql():
-    return {}
+FLAGSHIP = "rule_eval_dna"
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    _QUERIES[f.__name__] = f
+    return f
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: SQL[name] for name in _QUERIES if name in SQL}
+
+
+def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
+    ship(spark)
+    return spark.read.parquet(f"{sf}/{table}.parquet")
+
+
+def r6(column: str | F.Column) -> F.Column:
+    return F.round(column, 6)
+
+
+# ---- rules over sequences -------------------------------------------------------------------------------------------
+
+
+def _dna(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents").select("doc_id", "lang", "source", S.as_dna(F.col("text")).alias("dna"))
+    return gates.dna_features(docs, "dna", scans=False)
+
+
+@query
+def rule_eval_dna(spark, sf):
+    v = gates.dna_rules(scans=False).evaluate(_dna(spark, sf))
+    fired = [F.count_if(F.array_contains("fired", n)).alias(n.lower()) for n in gates.dna_rules(scans=False).names]
+    return v.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("passed"), r6(F.sum("score")).alias("score"), *fired)
+
+
+@query
+def rule_verdicts_dna(spark, sf):
+    v = gates.dna_rules(scans=False).evaluate(_dna(spark, sf))
+    return v.select("doc_id", F.array_join("fired", ",").alias("fired"), "score", "ok", "clean")
+
+
+@query
+def rule_verdicts_hard_only(spark, sf):
+    """The design-time subset: calibrated rules are left out."""
+    d = _dna(spark, sf)
+    some = gates.dna_rules(scans=False).rule("LONG_FOR_POOL", F.col("length") > 1000, kind=rules.CALIBRATED)
+    return some.hard_only().evaluate(d).groupBy("ok").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def rule_fire_rates(spark, sf):
+    rs = gates.dna_rules(scans=False)
+    return rules.fire_rates(rs.evaluate(_dna(spark, sf)), rs.names, ["lang"]).select("lang", "contract", r6("rate").alias("rate"))
+
+
+@query
+def rule_tally_first_reason(spark, sf):
+    rs = gates.dna_rules(scans=False)
+    named = rules.RuleSet(rs.name, tuple(rules.Rule(r.name, r.predicate, f"{r.name}: fired", r.weight) for r in rs.rules))
+    return rules.tally_first_reason(named.evaluate(_dna(spark, sf)), ["lang"])
+
+
+@query
+def rule_set_verdict(spark, sf):
+    return rules.set_verdict(gates.dna_rules(scans=False).evaluate(_dna(spark, sf)))
+
+
+@query
+def severity_dna(spark, sf):
+    return _dna(spark, sf).select("doc_id", r6(gates.dna_severity(scans=False)).alias("severity"))
+
+
+@query
+def calibrated_rules(spark, sf):
+    d = _dna(spark, sf)
+    pool = gates.calibrate_promoters(d.where("source = 'src0'"), "dna")
+    rs = rules.RuleSet("cal").rule("C5", F.col("max_run") > F.col("ref_max_run"), kind=rules.CALIBRATED).rule("C6", F.exists("rare", lambda m: F.contains(F.col("dna"), m)), kind=rules.CALIBRATED)
+    v = rs.evaluate(d.where("source <> 'src0'").crossJoin(F.broadcast(pool)))  # one row
+    return v.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.array_contains("fired", "C5")).alias("c5"), F.count_if(F.array_contains("fired", "C6")).alias("c6"))
+
+
+@query
+def restriction_sites(spark, sf):
+    d = _dna(spark, sf).select("doc_id", F.explode(S.restriction_sites("dna")).alias("h"))
+    return d.select("doc_id", "h.enzyme", "h.site", "h.position")
+
+
+@query
+def hairpin_flag(spark, sf):
+    d = read(spark, sf, "benchmark").select("item_id", S.as_dna(F.col("text")).alias("dna"))
+    return d.select("item_id", S.hairpin("dna").alias("h")).select("item_id", "h.*")
+
+
+@query
+def dna_full_gate(spark, sf):
+    """All six rules, hairpins and sites included, over the benchmark's texts."""
+    d = gates.dna_features(read(spark, sf, "benchmark").select("item_id", S.as_dna(F.col("text")).alias("dna")), "dna")
+    v = gates.dna_rules().evaluate(d.withColumn("severity", gates.dna_severity()))
+    return v.select("item_id", F.array_join("fired", ",").alias("fired"), "score", "ok", r6("severity").alias("severity"))
+
+
+@query
+def lcs_crosshyb(spark, sf):
+    d = read(spark, sf, "benchmark").select("item_id", S.as_dna(F.col("text")).alias("dna"))
+    return registry.cross_hybridization(d, "item_id", "dna").withColumn("stretch", F.col("stretch").cast("long"))
+
+
+@query
+def promoter_boxes(spark, sf):
+    d = read(spark, sf, "benchmark").select("item_id", S.as_dna(F.col("text")).alias("dna"))
+    return d.select("item_id", S.promoter_boxes("dna").alias("b")).select("item_id", "b.*")
+
+
+@query
+def promoter_gate(spark, sf):
+    """The whole promoter rule set over documents, calibrated on one source."""
+    d = _dna(spark, sf)
+    v = gates.promoter_rules("dna").evaluate(d.withColumn("box", S.promoter_boxes("dna")).crossJoin(F.broadcast(gates.calibrate_promoters(d.where("source = 'src0'"), "dna"))))
+    return v.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("passed"), F.sum("score").alias("score"))
+
+
+@query
+def kmer_freqs(spark, sf):
+    """Shares of single bases and pairs in every document's sequence."""
+    d = _dna(spark, sf).where("length >= 2")
+    windows = d.select("doc_id", F.explode(F.concat(S.kmers(F.col("dna"), 1), S.kmers(F.col("dna"), 2))).alias("kmer"))
+    counts = windows.groupBy("doc_id", "kmer").agg(F.count(F.lit(1)).alias("n"))
+    per_k = counts.withColumn("k", F.length("kmer"))
+    total = F.sum("n").over(W.partitionBy("doc_id", "k"))
+    return per_k.select("doc_id", "kmer", r6(F.col("n") / total).alias("freq"))
+
+
+@query
+def guide_hard_rules(spark, sf):
+    """Every 20-base window of every document, one after the other, as a guide."""
+    d = _dna(spark, sf).where("length >= 20")
+    cuts = d.select("doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.col("length") / 20) - 1), lambda i: F.substring("dna", (i * 20 + 1).cast("int"), F.lit(20)))).alias("w", "guide"))
+    f = cuts.withColumn("gc", S.gc_fraction(F.col("guide"))).withColumn("max_run", S.longest_run(F.col("guide")))
+    v = gates.guide_rules("guide").evaluate(f)
+    return v.groupBy("doc_id").agg(F.count(F.lit(1)).alias("guides"), F.count_if(~F.col("ok")).alias("flagged"), *[F.count_if(F.array_contains("fired", n)).alias(n.lower()) for n in gates.guide_rules("guide").names])
+
+
+def _protein(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", S.as_protein(F.col("text")).alias("aa"))
+
+
+@query
+def antibody_charge(spark, sf):
+    d = _protein(spark, sf)
+    return d.select("doc_id", r6(S.net_charge(F.col("aa"), 7.4)).alias("charge"), r6(S.gravy(F.col("aa"))).alias("gravy"))
+
+
+@query
+def antibody_pi(spark, sf):
+    return _protein(spark, sf).select("doc_id", r6(S.isoelectric_point("aa", F.lit(""))).alias("pi"))
+
+
+@query
+def antibody_gate(spark, sf):
+    """The antibody rules over every document's residues as a heavy chain."""
+    v = gates.antibody_rules().evaluate(ab.features(_protein(spark, sf).withColumn("light", F.lit("")), "aa", "light"))
+    return v.select("doc_id", F.array_join("fired", ",").alias("fired"), "score", "ok")
+
+
+@query
+def liability_motifs(spark, sf):
+    count = lambda p: F.regexp_count(F.col("aa"), F.lit(p)).cast("long")
+    return _protein(spark, sf).select("doc_id", count(ab.SEQUON).alias("sequons"), count(ab.DEAMIDATION).alias("deamidation"), count(ab.ISOMERIZATION).alias("isomerization"), count(ab.FRAGMENTATION).alias("fragmentation"))
+
+
+# ---- statistics -----------------------------------------------------------------------------------------------------
+
+
+@query
+def rank_avg_price(spark, sf):
+    o = read(spark, sf, "orders").select("o_orderkey", F.round(F.col("o_totalprice") / 1000).alias("price"))
+    return st.rank_avg(o, "price").select("o_orderkey", "price", "rank")
+
+
+@query
+def spearman_qty_price(spark, sf):
+    l = read(spark, sf, "lineitem")
+    return st.spearman(l, "l_quantity", "l_extendedprice", ["l_returnflag"]).select("l_returnflag", "n", r6("r").alias("rho"), "degenerate")
+
+
+@query
+def pearson_degenerate(spark, sf):
+    """By part and line number, where many groups are too small or constant."""
+    l = read(spark, sf, "lineitem").withColumn("qty", F.when(F.col("l_linenumber") == 4, 1.0).otherwise(F.col("l_quantity")))
+    got = st.pearson(l, "qty", "l_discount", ["l_partkey", "l_linenumber"])
+    return got.groupBy("l_linenumber", "degenerate").agg(F.count(F.lit(1)).alias("groups"), r6(F.avg("r")).alias("mean_r"))
+
+
+def _labelled(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", "n_chars", "source", "lang").join(read(spark, sf, "labels"), "doc_id")
+
+
+@query
+def auroc_nchars_quality(spark, sf):
+    m = st.mann_whitney(_labelled(spark, sf), "n_chars", "quality")
+    return m.select("n_pos", "n_neg", "u", r6("auroc").alias("auroc"), r6("z").alias("z"))
+
+
+@query
+def average_precision_quality(spark, sf):
+    return st.average_precision(_labelled(spark, sf), "n_chars", "quality", "doc_id").select("n", "positives", r6("ap").alias("ap"))
+
+
+def _unit(*key):
+    """A uniform number from the MD5 of a key, the same in both engines."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *key)), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+@query
+def bh_fdr(spark, sf):
+    parts = read(spark, sf, "part").select("p_partkey", F.pow(_unit(F.lit("p"), F.col("p_partkey").cast("string")), 2).alias("p"))
+    return st.benjamini_hochberg(parts, "p", "p_partkey").select("p_partkey", r6("q").alias("q"))
+
+
+@query
+def equal_count_bins(spark, sf):
+    o = read(spark, sf, "orders").select("o_orderkey", "o_totalprice")
+    return st.equal_bins(o, "o_totalprice", ["o_orderkey"], 30).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("o_totalprice")).alias("centre"))
+
+
+@query
+def median_mad_by_flag(spark, sf):
+    return st.median_mad(read(spark, sf, "lineitem"), "l_extendedprice", ["l_returnflag"]).select("l_returnflag", r6("med").alias("med"), r6("mad").alias("mad"))
+
+
+@query
+def bootstrap_ci(spark, sf):
+    """The interval of the mean order value of each quarter's head, by hash-drawn resamples."""
+    c = read(spark, sf, "supplier").select("s_suppkey", "s_acctbal")
+    return st.bootstrap_mean(c, "s_acctbal", "s_suppkey", resamples=500).select(r6("lo").alias("lo"), r6("hi").alias("hi"))
+
+
+@query
+def zscore_by_group(spark, sf):
+    o = read(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return st.zscore(o, "o_totalprice", ["o_orderpriority"]).select("o_orderkey", r6("z").alias("z"))
+
+
+@query
+def gap_slope(spark, sf):
+    """Slope over months of the gap between mean prices of two line states."""
+    l = read(spark, sf, "lineitem").withColumn("month", F.year("l_shipdate") * 12 + F.month("l_shipdate"))
+    m = l.groupBy("month").agg(F.avg(F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice"))).alias("a"), F.avg(F.when(F.col("l_returnflag") == "N", F.col("l_extendedprice"))).alias("b"))
+    gaps = m.where("a is not null and b is not null").withColumn("gap", F.col("a") - F.col("b"))
+    return st.slope(gaps, "gap", "month").select(F.round("slope", 4).alias("slope"))
+
+
+# ---- screens --------------------------------------------------------------------------------------------------------
+
+
+def _counts(spark, sf):
+    """Line items as guides of their part's gene, with two initial and two final samples derived from them."""
+    l = read(spark, sf, "lineitem")
+    guide = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    hash_ = lambda s: F.conv(F.substring(F.md5(F.concat(guide, F.lit(s))), 1, 6), 16, 10).cast("long") % 40
+    q = F.floor(F.col("l_quantity") * 10).cast("long")
+    p = F.floor(F.col("l_extendedprice") / 150).cast("long")
+    cells = [("i1", "initial", q + hash_("a")), ("i2", "initial", q + hash_("b")), ("f1", "final", p + hash_("c")), ("f2", "final", p + hash_("d"))]
+    rows = F.explode(F.array(*[F.struct(F.lit(s).alias("sample"), F.lit(a).alias("arm"), n.alias("n")) for s, a, n in cells]))
+    return l.select(guide.alias("guide"), F.col("l_partkey").alias("gene"), rows.alias("c")).select("guide", "gene", "c.*")
+
+
+@query
+def size_factors(spark, sf):
+    return screens.size_factors(_counts(spark, sf)).select("sample", r6("factor").alias("factor"))
+
+
+@query
+def guide_stats(spark, sf):
+    g = screens.guide_stats(_counts(spark, sf))
+    return g.select("guide", "gene", F.round("lfc", 5).alias("lfc"), F.round("depletion", 4).alias("depletion"))
+
+
+def _lfc(spark, sf):
+    """Guides with a rounded fold change, so that both engines rank the same numbers."""
+    g = screens.guide_stats(_counts(spark, sf))
+    return st.held(g.withColumn("lfc", F.round("lfc", 5)).withColumn("depletion", -F.col("lfc")))
+
+
+@query
+def spread_trend(spark, sf):
+    l = read(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").cast("double").alias("level"), "o_totalprice")
+    t = st.spread_trend(l, "level", "o_totalprice", "o_orderkey", 20)
+    return t.select("bin", r6("centre").alias("centre"), r6("spread").alias("spread"))
+
+
+@query
+def gene_calls(spark, sf):
+    g = screens.gene_calls(_lfc(spark, sf))
+    return g.select("gene", "n", "u", r6("auroc").alias("auroc"), r6("z").alias("z"))
+
+
+@query
+def gene_calls_significant(spark, sf):
+    """Genes called at q < 0.05: p-values need erfc, which SQL lacks here."""
+    g = screens.gene_calls(_lfc(spark, sf)).withColumn("p", screens.p_value("z"))
+    return st.benjamini_hochberg(g, "p", "gene").select("gene", "z", "p", "q", (F.col("q") < 0.05).alias("significant"))
+
+
+@query
+def null_band(spark, sf):
+    g = _lfc(spark, sf)
+    return screens.null_band(g, F.col("gene") <= 50).select(F.round("lo", 5).alias("lo"), F.round("hi", 5).alias("hi"))
+
+
+@query
+def screen_reliability(spark, sf):
+    g = _lfc(spark, sf).withColumn("init", F.round("init", 4))
+    report = screens.reliability(g, screens.dispersion_limit(g), screens.null_band(g, F.col("gene") <= 50))
+    return report.select("gene", "guides", "usable", "floor", "few", "discordant", "under_powered")
+
+
+@query
+def screen_thinned(spark, sf):
+    """The depth stress: counts at a tenth of the depth and what that does to reliability."""
+    thin = screens.guide_stats(screens.thin(_counts(spark, sf), 27.0))
+    report = screens.reliability(thin, screens.dispersion_limit(thin), screens.null_band(thin, F.col("gene") <= 50))
+    return report.groupBy("under_powered").agg(F.count(F.lit(1)).alias("genes"))
+
+
+@query
+def subsample_guides(spark, sf):
+    kept = screens.keep_guides(_counts(spark, sf), 3)
+    return kept.groupBy("gene").agg(F.countDistinct("guide").alias("guides"))
+
+
+def _cells(spark, sf):
+    e = read(spark, sf, "events")
+    per = e.groupBy(F.col("user_id").alias("target")).agg(F.count(F.lit(1)).alias("k"), F.avg("value").alias("m"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    resid = F.when(F.col("errors") == 0, F.round(F.col("m") / 100, 6))
+    return per.select("target", resid.alias("knockdown_resid"), (_unit(F.lit("p"), F.col("target").cast("string")) / 2).alias("p"), (F.col("k") * 3).alias("n_cells"))
+
+
+@query
+def single_cell_audit(spark, sf):
+    a = screens.single_cell_audit(_cells(spark, sf))
+    return a.select("n", "hits", "confident_negatives", "unsupported", *[r6(c).alias(c) for c in ("q1", "weak_no_hit", "weak_hit")])
+
+
+@query
+def single_cell_flagged(spark, sf):
+    return screens.flagged(_cells(spark, sf)).select("target", "knockdown_resid", "n_cells", F.array_join("fired", ",").alias("fired"))
+
+
+# ---- leakage --------------------------------------------------------------------------------------------------------
+
+
+@query
+def leak_membership(spark, sf):
+    """Documents against the benchmark (exact text) and between two halves by source and text."""
+    d = read(spark, sf, "documents").select("doc_id", "text", "source", "lang")
+    half = _unit(F.lit("half"), F.col("doc_id").cast("string")) < 0.5
+    train, test = d.where(half), d.where(~half)
+    x = leakage.seen_in(test, train, ["text"], "product_seen")
+    x = leakage.seen_in(x, train, ["source"], "same_source")
+    x = leakage.seen_in(x, train, ["text", "lang"], "reaction_seen")
+    x = leakage.seen_in(x, read(spark, sf, "benchmark").select("text"), ["text"], "template_seen")
+    v = gates.retro_leakage_rules().evaluate(x.withColumn("similarity", F.lit(0.0)))
+    return v.select("doc_id", F.array_join("fired", ",").alias("fired"), "score")
+
+
+@query
+def kmer_knn(spark, sf):
+    """Benchmark items against all documents."""
+    b = read(spark, sf, "benchmark").select(F.col("item_id").alias("key"), "text")
+    d = read(spark, sf, "documents").select(F.col("doc_id").alias("key"), "text")
+    n = leakage.kmer_knn(b, d, "key", "text", k=12, top=5, df_cap=0.02)
+    return n.select("query", F.col("rank").cast("long").alias("rank"), "neighbour", "shared", r6("similarity").alias("similarity"))
+
+
+@query
+def random_split(spark, sf):
+    s = leakage.random_split(read(spark, sf, "documents").select("doc_id"), "doc_id", 0.2, "s1")
+    return s.select("doc_id", "split")
+
+
+@query
+def group_disjoint_split(spark, sf):
+    s = leakage.group_split(read(spark, sf, "documents").select("doc_id", "source"), "source", 0.2, "s1")
+    return s.groupBy("source", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def size_greedy_split(spark, sf):
+    s = leakage.size_greedy_split(read(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment", 0.8)
+    return s.groupBy("c_mktsegment", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _pairs(spark, sf):
+    l = read(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    o = read(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    e = l.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_partkey").agg(F.max("l_quantity").alias("q"))
+    e = e.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("a"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("b"), (F.col("q") > 25).cast("int").alias("label"))
+    return e.withColumn("u", _unit(F.lit("e"), F.col("a"), F.col("b")))
+
+
+@query
+def holdout_strata(spark, sf):
+    e = _pairs(spark, sf)
+    novel = lambda c: _unit(F.lit("novel"), F.col(c)) < 0.3
+    fresh = novel("a") | novel("b")
+    train, test = e.where(~fresh & (F.col("u") < 0.8)), e.where(fresh | (F.col("u") >= 0.8))
+    s = leakage.pair_strata(test, train, "a", "b", F.col("label") == 1)
+    g = leakage.group_auroc(s, "node_score", "label", ["stratum"])
+    return g.select("stratum", "n_pos", "n_neg", r6("auroc").alias("auroc"))
+
+
+@query
+def pair_leakage_rates(spark, sf):
+    e = _pairs(spark, sf)
+    train, test = e.where("u < 0.8"), e.where("u >= 0.8")
+    x = leakage.seen_in(leakage.seen_in(test, leakage.degrees(train, "a", "b").withColumnRenamed("node", "a"), ["a"], "a_seen"), leakage.degrees(train, "a", "b").withColumnRenamed("node", "b"), ["b"], "b_seen")
+    v = gates.pair_leakage_rules().evaluate(x.withColumn("near_dup", F.lit(False)))
+    return rules.fire_rates(v, gates.pair_leakage_rules().names).select("contract", r6("rate").alias("rate"))
+
+
+def _vector_split(spark, sf):
+    v = read(spark, sf, "embeddings")
+    test = F.col("vec_id") % 5 == 0
+    return v.where(~test), v.where(test)
+
+
+@query
+def vec_knn(spark, sf):
+    """Every fifth vector, as a stated query set, against all the others."""
+    train, test = _vector_split(spark, sf)
+    n = leakage.vector_knn(test, train, "vec_id", "embedding", 5)
+    return n.select("query", F.col("rank").cast("long").alias("rank"), "neighbour", r6("similarity").alias("similarity"))
+
+
+@query
+def vec_knn_vote(spark, sf):
+    train, test = _vector_split(spark, sf)
+    n = leakage.vector_knn(test, train, "vec_id", "embedding", 5).join(train.select(F.col("vec_id").alias("neighbour"), "label"), "neighbour")
+    vote = leakage.weighted_vote(n, "query", "label", "similarity")
+    return vote.join(test.select(F.col("vec_id").alias("query"), "label"), "query").select("query", "predicted", (F.col("predicted") == F.col("label")).alias("correct"))
+
+
+@query
+def knn_regression(spark, sf):
+    train, test = _vector_split(spark, sf)
+    n = leakage.vector_knn(test, train, "vec_id", "embedding", 5).join(train.select(F.col("vec_id").alias("neighbour"), F.col("label").cast("double").alias("y")), "neighbour")
+    return leakage.weighted_mean(n, "query", "y", "similarity", 0.0).select("query", r6("predicted").alias("predicted"))
+
+
+@query
+def sim_deciles(spark, sf):
+    train, test = _vector_split(spark, sf)
+    n = leakage.vector_knn(test, train, "vec_id", "embedding", 1).join(train.select(F.col("vec_id").alias("neighbour"), F.col("label").alias("l")), "neighbour")
+    x = n.join(test.select(F.col("vec_id").alias("query"), "label"), "query").withColumn("correct", (F.col("l") == F.col("label")).cast("int"))
+    d = leakage.decile_curve(x, "similarity", "correct", "query")
+    return d.select("bin", "n", r6("mean_similarity").alias("mean_similarity"), r6("accuracy").alias("accuracy"))
+
+
+@query
+def topk_accuracy(spark, sf):
+    """Share of queries with a neighbour of their own label among the first k."""
+    train, test = _vector_split(spark, sf)
+    n = leakage.vector_knn(test, train, "vec_id", "embedding", 5).join(train.select(F.col("vec_id").alias("neighbour"), F.col("label").alias("l")), "neighbour")
+    first = n.join(test.select(F.col("vec_id").alias("query"), "label"), "query").groupBy("query").agg(F.min(F.when(F.col("l") == F.col("label"), F.col("rank"))).alias("first"))
+    share = lambda k: r6(F.avg(F.coalesce(F.col("first") <= k, F.lit(False)).cast("int")))
+    return first.agg(F.count(F.lit(1)).alias("queries"), share(1).alias("top1"), share(3).alias("top3"), share(5).alias("top5"))
+
+
+@query
+def majority_floor(spark, sf):
+    c = read(spark, sf, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return c.agg(r6(F.max("n") / F.sum("n")).alias("floor"))
+
+
+# ---- models, loop, repair, geometry ---------------------------------------------------------------------------------
+
+
+def _line_features(spark, sf):
+    l = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", F.array(F.lit(1.0), F.col("l_quantity") / 50, F.col("l_discount"), F.col("l_tax")).alias("x"))
+    return l.withColumn("y", F.col("l_extendedprice") / 1e5)
+
+
+@query
+def ridge_gram(spark, sf):
+    a, b, n = models.gram(_line_features(spark, sf), "x", "y")
+    rows = [(i, j, round(float(a[i, j]), 4)) for i in range(len(a)) for j in range(len(a))] + [(i, -1, round(float(v), 4)) for i, v in enumerate(b)]
+    return spark.createDataFrame(rows, "i int, j int, v double")
+
+
+@query
+def ridge_fit(spark, sf):
+    m = models.Ridge.fit(_line_features(spark, sf), "x", "y")
+    return spark.createDataFrame([(i, float(w)) for i, w in enumerate(m.weights)], "i int, weight double")
+
+
+@query
+def ucb_top_k(spark, sf):
+    """The 100 lines with the highest upper confidence bound."""
+    d = _line_features(spark, sf)
+    m = models.Ridge.fit(d, "x", "y")
+    score = models.acquisition(m.predict(F.col("x")), m.variance(F.col("x")), "ucb")
+    return d.select("l_orderkey", "l_linenumber", F.round(score, 9).alias("score")).orderBy(F.desc("score"), "l_orderkey", "l_linenumber").limit(100)
+
+
+@query
+def greedy_top_k(spark, sf):
+    """Top 100 by a fixed score, ties by key."""
+    l = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", r6(F.col("l_extendedprice") * (1 - F.col("l_discount")) / F.col("l_quantity")).alias("score"))
+    return l.orderBy(F.desc("score"), "l_orderkey", "l_linenumber").limit(100)
+
+
+@query
+def readout_qualify(spark, sf):
+    v = gates.readout_rules().evaluate(readouts.event_readouts(read(spark, sf, "events")))
+    return v.select("event_id", F.transform("fired", lambda n: F.substring(n, 1, 2)).alias("f"), "score").select("event_id", F.array_join("f", ",").alias("fired"), "score")
+
+
+@query
+def stress_hash_draw(spark, sf):
+    e = read(spark, sf, "events").select(F.col("event_id").alias("design"), F.col("value").alias("truth"))
+    x = loop.saturation(loop.measure(e), 50.0, 80.0)
+    return x.select("design", r6("value").alias("value"), "replicate_cv", "signal")
+
+
+def _loop_pool(spark, sf):
+    l = read(spark, sf, "part").select(F.col("p_partkey").alias("design"), F.array(F.lit(1.0), F.col("p_size") / 50.0, F.pmod("p_partkey", F.lit(10)) / 10.0).alias("features"), (F.col("p_retailprice") / 1000 + F.col("p_size") / 20.0).alias("truth"), "p_size")
+    return l.withColumn("truth", F.when(F.col("design") % 13 != 0, F.col("truth")))
+
+
+@query
+def dbtl_cycles(spark, sf):
+    gate = rules.RuleSet("design").rule("SIZE", F.col("p_size") > 48)
+    return loop.run(_loop_pool(spark, sf), loop.LoopConfig(), gate, lambda r: loop.saturation(r, 3.0, 4.0))
+
+
+@query
+def dbtl_gap(spark, sf):
+    gated = loop.run(_loop_pool(spark, sf), loop.LoopConfig(), stress=lambda r: loop.saturation(r, 3.0, 3.0))
+    plain = loop.run(_loop_pool(spark, sf), loop.LoopConfig(), stress=lambda r: loop.saturation(r, 3.0, 3.0), qualify=False)
+    return loop.gap_slope(gated, plain)
+
+
+@query
+def repair_dna(spark, sf):
+    """Every benchmark text, read as a draft."""
+    d = read(spark, sf, "benchmark").select("item_id", S.as_dna(F.col("text")).alias("dna"))
+    return repair.repair_table(d, "item_id", "dna", demanded=("RESTRICTION_SITE",)).drop("repaired")
+
+
+def _points(spark, sf):
+    e = read(spark, sf, "embeddings")
+    at = lambda i: F.get("embedding", F.lit(i)).cast("double") * 20
+    elements = F.array(*[F.lit(x) for x in ("C", "N", "O", "S")])
+    element = F.element_at(elements, (F.pmod("vec_id", F.lit(4)) + 1).cast("int"))
+    return e.select(F.coalesce(F.col("label"), F.lit(-1)).alias("complex"), F.col("vec_id").alias("atom"), element.alias("element"), at(0).alias("x"), at(1).alias("y"), at(2).alias("z"))
+
+
+@query
+def cell_hash_distance(spark, sf):
+    """Pairs of points of one label closer than 1, one side odd, the other even."""
+    p = _points(spark, sf)
+    near = geometry.within(p.where("atom % 2 = 1"), p.where("atom % 2 = 0"), 1.0)
+    return near.select("g", F.col("a.atom").alias("a"), F.col("b.atom").alias("b"), r6("dist").alias("dist"))
+
+
+@query
+def interface_gate(spark, sf):
+    p = _points(spark, sf)
+    f = geometry.interface_features(p.where("atom % 2 = 1"), p.where("atom % 2 = 0"))
+    v = gates.complex_rules().evaluate(f)
+    return v.select("g", r6("min_dist").alias("min_dist"), "n_clash", r6("max_overlap").alias("max_overlap"), r6("buried_frac").alias("buried_frac"), F.array_join("fired", ",").alias("fired"))
+
+
+@query
+def ligand_gate(spark, sf):
+    p = _points(spark, sf)
+    f = geometry.ligand_features(p.where("atom % 10 <> 0"), p.where("atom % 10 = 0")).withColumn("overlap_frac", F.lit(0.0))
+    v = gates.cofold_rules().evaluate(f)
+    return v.select("g", r6("min_dist").alias("min_dist"), r6("min_rel").alias("min_rel"), "n_clash", F.array_join("fired", ",").alias("fired"))
+
+
+@query
+def streaming_flags(spark, sf):
+    return readouts.run_available(spark, f"{sf}/events.parquet")
+
+
+# ---- plain relational operators -------------------------------------------------------------------------------------
+
+
+@query
+def orders_of_segment_semi(spark, sf):
+    o, c = read(spark, sf, "orders"), read(spark, sf, "customer")
+    return o.join(c.where("c_mktsegment = 'BUILDING'"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def customers_without_orders_anti(spark, sf):
+    c, o = read(spark, sf, "customer"), read(spark, sf, "orders")
+    return c.join(o, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_mktsegment")
+
+
+@query
+def batch_jaccard(spark, sf):
+    """Overlap of the parts two suppliers' halves ship: intersect and union of sets."""
+    l = read(spark, sf, "lineitem")
+    a, b = (l.where(F.col("l_suppkey") % 2 == i).select("l_partkey") for i in (0, 1))
+    return a.intersect(b).agg(F.count(F.lit(1)).alias("both")).crossJoin(a.union(b).distinct().agg(F.count(F.lit(1)).alias("any"))).withColumn("jaccard", r6(F.col("both") / F.col("any")))
+
+
+@query
+def revenue_rollup(spark, sf):
+    l = read(spark, sf, "lineitem")
+    return l.rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
+
+
+@query
+def top_groups_per_nation(spark, sf):
+    """The three largest balances of each nation, ties by key."""
+    s = read(spark, sf, "customer")
+    rank = F.row_number().over(W.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"), "c_custkey"))
+    return s.withColumn("rank", rank.cast("long")).where("rank <= 3").select("c_nationkey", "rank", "c_custkey", "c_acctbal")
