@@ -85,7 +85,9 @@ def delete_repeated_runs(docs: DataFrame, run: int = 3, id_col: str = "doc_id",
     gone = scratch.save(later.groupBy(F.col("key").alias("k")).agg(F.collect_set("at").alias("ats")), "gone")
     scratch.drop(windows)
 
-    joined = rows.join(gone, F.col("key") == F.col("k"), "left").withColumn("all", _lines(text))
+    scratch.release()
+    # a merge join at every size: what is deleted grows with the corpus and is never broadcast
+    joined = rows.join(gone.hint("merge"), F.col("key") == F.col("k"), "left").withColumn("all", _lines(text))
     places = F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda i: F.get("all", i).rlike(_FILLED))
     joined = joined.withColumn("places", F.when(text.isNotNull(), places))
     lost = F.transform(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + run - 1))), lambda k: F.get("places", k))
