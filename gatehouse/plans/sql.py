@@ -98,8 +98,8 @@ SQL = {
         SELECT lang, count(*) AS n, count(*) FILTER (max_run > ref) AS c5, count(hit.doc_id) AS c6
         FROM e CROSS JOIN top LEFT JOIN hit ON e.doc_id = hit.doc_id WHERE source <> 'src0' GROUP BY lang""",
     "restriction_sites": f"""WITH {_FEATURES}, sites(enzyme, site) AS (VALUES {_SITES}),
-        at AS (SELECT doc_id, enzyme, site, dna, unnest(range(0, length(dna) - length(site) + 1)) AS position FROM d, sites WHERE contains(dna, site))
-        SELECT doc_id, enzyme, site, position::INT AS position FROM at WHERE substr(dna, position + 1, length(site)) = site""",
+        spots AS (SELECT doc_id, enzyme, site, dna, unnest(range(0, length(dna) - length(site) + 1)) AS position FROM d, sites WHERE contains(dna, site))
+        SELECT doc_id, enzyme, site, position::INT AS position FROM spots WHERE substr(dna, position + 1, length(site)) = site""",
     "lcs_crosshyb": f"""WITH d AS (SELECT item_id, {_AS_DNA} AS dna FROM benchmark), t AS (SELECT item_id, dna, reverse(translate(dna, 'ACGT', 'TGCA')) AS rc FROM d),
         a AS (SELECT item_id AS a, i, substr(dna, i, 12) AS k FROM (SELECT item_id, dna, unnest(range(1, length(dna) - 10)) AS i FROM t)),
         b AS (SELECT item_id AS b, j, substr(rc, j, 12) AS k FROM (SELECT item_id, rc, unnest(range(1, length(rc) - 10)) AS j FROM t)),
