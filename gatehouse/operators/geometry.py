@@ -65,6 +65,43 @@ def ligand_features(protein: DataFrame, ligand: DataFrame, group: str = "complex
     return out.select("g", F.col("min_dist").isNotNull().alias("framed"), "min_dist", "min_rel", F.coalesce("n_clash", F.lit(0)).alias("n_clash"))
 
 
+def volume_overlap(protein: DataFrame, ligand: DataFrame, step: float = 0.5, group: str = "complex") -> DataFrame:
+    """``g, overlap_frac``: the share of the ligand's volume inside the protein, on a grid of ``step`` over its box.
+
+    Only protein atoms that can reach the ligand travel to the complex's task; a complex's two sides are its group.
+    """
+    import numpy as np
+    import pandas as pd
+
+    reach = 2 * max(BONDI.values())
+    near = within(ligand, protein, reach, group).select("g", "b.*").dropDuplicates(["g", "atom"])
+
+    def share(key, lig, pro):
+        def ball(frame):
+            at = frame[["x", "y", "z"]].to_numpy(float)
+            size = np.array([BONDI.get(str(e).capitalize(), DEFAULT_RADIUS) for e in frame["element"]])
+            return at, size
+
+        def inside(points, at, size):
+            hit = np.zeros(len(points), bool)
+            for centre, r in zip(at, size, strict=True):
+                hit |= ((points - centre) ** 2).sum(axis=1) <= r * r
+            return hit
+
+        at, size = ball(lig)
+        if not len(at):
+            return pd.DataFrame({"g": [], "overlap_frac": []})
+        low, high = (at - size[:, None]).min(axis=0), (at + size[:, None]).max(axis=0)
+        axes = [np.arange(a, b + step, step) for a, b in zip(low, high, strict=True)]
+        points = np.stack(np.meshgrid(*axes, indexing="ij"), axis=-1).reshape(-1, 3)
+        own = points[inside(points, at, size)]
+        return pd.DataFrame({"g": [key[0]], "overlap_frac": [float(inside(own, *ball(pro)).mean()) if len(own) else 0.0]})
+
+    kind = ligand.schema[group].dataType.simpleString()
+    left = ligand.select(F.col(group).alias("g"), "element", "x", "y", "z").groupBy("g")
+    return left.cogroup(near.select("g", "element", "x", "y", "z").groupBy("g")).applyInPandas(share, f"g {kind}, overlap_frac double")
+
+
 def interface_features(side_a: DataFrame, side_b: DataFrame, group: str = "complex") -> DataFrame:
     """``g, framed, min_dist, n_clash, max_overlap, buried_frac`` between two groups of chains.
 

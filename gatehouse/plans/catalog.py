@@ -601,9 +601,10 @@ def interface_gate(spark, sf):
 @query
 def ligand_gate(spark, sf):
     p = _points(spark, sf)
-    f = geometry.ligand_features(p.where("atom % 10 <> 0"), p.where("atom % 10 = 0")).withColumn("overlap_frac", F.lit(0.0))
+    protein, ligand = p.where("atom % 10 <> 0"), p.where("atom % 10 = 0")
+    f = geometry.ligand_features(protein, ligand).join(geometry.volume_overlap(protein, ligand), "g", "left")
     v = gates.cofold_rules().evaluate(f)
-    return v.select("g", r6("min_dist").alias("min_dist"), r6("min_rel").alias("min_rel"), "n_clash", F.array_join("fired", ",").alias("fired"))
+    return v.select("g", r6("overlap_frac").alias("overlap_frac"), r6("min_dist").alias("min_dist"), r6("min_rel").alias("min_rel"), "n_clash", F.array_join("fired", ",").alias("fired"))
 
 
 @query

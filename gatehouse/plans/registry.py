@@ -72,8 +72,8 @@ def _atoms(spark: SparkSession, source: str) -> DataFrame:
 
 def _load_cofold(spark: SparkSession, source: str, opts: dict) -> DataFrame:
     protein, ligand = readers.split_ligand(_atoms(spark, source), opts.get("ligand_resname"))
-    found = geometry.ligand_features(protein, ligand).withColumnRenamed("g", "name")
-    return found.withColumn("overlap_frac", F.lit(None).cast("double"))
+    found = geometry.ligand_features(protein, ligand).join(geometry.volume_overlap(protein, ligand), "g", "left")
+    return found.withColumnRenamed("g", "name")
 
 
 def _load_complex(spark: SparkSession, source: str, opts: dict) -> DataFrame:
