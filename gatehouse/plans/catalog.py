@@ -282,7 +282,7 @@ def gap_slope(spark, sf):
 def _counts(spark, sf):
     """Line items as guides of their part's gene, with two initial and two final samples derived from them."""
     l = read(spark, sf, "lineitem")
-    guide = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")])
+    guide = F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")], F.floor(F.col("l_extendedprice") * 100).cast("string"))
     hash_ = lambda s: F.conv(F.substring(F.md5(F.concat(guide, F.lit(s))), 1, 6), 16, 10).cast("long") % 40
     q = F.floor(F.col("l_quantity") * 10).cast("long")
     p = F.floor(F.col("l_extendedprice") / 150).cast("long")

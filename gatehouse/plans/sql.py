@@ -32,7 +32,7 @@ def _unit(expression: str) -> str:
 
 
 _COUNTS = """
-l AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS guide, l_partkey AS gene, floor(l_quantity * 10)::BIGINT AS q,
+l AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || floor(l_extendedprice * 100)::BIGINT AS guide, l_partkey AS gene, floor(l_quantity * 10)::BIGINT AS q,
              floor(l_extendedprice / 150)::BIGINT AS p FROM lineitem),
 h AS (SELECT guide, gene, q + ('0x' || substr(md5(guide || 'a'), 1, 6))::BIGINT % 40 AS i1, q + ('0x' || substr(md5(guide || 'b'), 1, 6))::BIGINT % 40 AS i2,
              p + ('0x' || substr(md5(guide || 'c'), 1, 6))::BIGINT % 40 AS f1, p + ('0x' || substr(md5(guide || 'd'), 1, 6))::BIGINT % 40 AS f2 FROM l),
@@ -179,7 +179,7 @@ SQL = {
         w AS (SELECT gene, count(*) AS guides, count(*) FILTER (usable) AS usable, stddev_pop(lfc) FILTER (usable) AS sd, count(*) FILTER (usable AND lfc < lo) AS cleared, any_value(lim) AS lim FROM y, band, lim GROUP BY gene),
         z AS (SELECT gene, guides, usable, (guides - usable) / guides::DOUBLE >= 0.5 AS floor, usable < 3 AS few, coalesce(sd > lim, false) AND cleared >= 1 AS discordant FROM w)
         SELECT *, floor OR few OR discordant AS under_powered FROM z""",
-    "subsample_guides": "SELECT l_partkey AS gene, least(count(DISTINCT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey), 3) AS guides FROM lineitem GROUP BY 1",
+    "subsample_guides": "SELECT l_partkey AS gene, least(count(DISTINCT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || floor(l_extendedprice * 100)::BIGINT), 3) AS guides FROM lineitem GROUP BY 1",
     "single_cell_audit": f"""WITH {_CELLS} SELECT count(*) AS n, count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit AND NOT (weak OR unmeasured OR low)) AS confident_negatives,
         count(*) FILTER (NOT hit AND (weak OR unmeasured OR low)) AS unsupported, round(coalesce(avg((weak OR unmeasured OR low)::INT) FILTER (NOT hit), 0), 6)::DOUBLE AS q1,
         round(coalesce(avg(weak::INT) FILTER (NOT hit), 0), 6)::DOUBLE AS weak_no_hit, round(coalesce(avg(weak::INT) FILTER (hit), 0), 6)::DOUBLE AS weak_hit FROM v""",
