@@ -250,16 +250,23 @@ def _shingle_sets(width: int):
     return sets
 
 
-def _checked(edges: DataFrame, texts: DataFrame, scratch: Scratch, width: int, similarity: float) -> DataFrame:
-    """Those edges whose texts (``fp, text``, one each) have shingle sets of at least the Jaccard similarity."""
+def _checked(edges: DataFrame, first: DataFrame, rows: DataFrame, text: str, scratch: Scratch, width: int, similarity: float) -> DataFrame:
+    """Those edges whose texts (the first row of each fingerprint) have shingle sets of at least the Jaccard similarity.
+
+    Only fingerprints with an edge are looked up, and their texts move once.
+    """
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    sets = texts.join(nodes, F.col("fp") == F.col("node")).select("fp", "text").mapInArrow(_shingle_sets(width), "fp long, grams array<long>")
-    sets = scratch.save(sets, "sets")
+    heads = first.join(nodes, F.col("fp") == F.col("node")).select(F.col("first.uid").alias("head"))
+    # a merge join at every size: a side that grows with the corpus is never broadcast
+    texts = rows.join(heads.hint("merge"), F.col("uid") == F.col("head")).select("fp", F.col(text).alias("text"))
+    sets = scratch.save(texts.mapInArrow(_shingle_sets(width), "fp long, grams array<long>"), "sets")
+    scratch.release()
     left, right = sets.toDF("l", "l_grams"), sets.toDF("r", "r_grams")
     both = edges.join(left, F.col("a") == F.col("l")).join(right, F.col("b") == F.col("r"))
     shared = F.size(F.array_intersect("l_grams", "r_grams"))
     held = scratch.save(both.where(shared >= similarity * (F.size("l_grams") + F.size("r_grams") - shared)).select("a", "b"), "checked")
     scratch.drop(sets)
+    scratch.release()
     return held
 
 
@@ -285,9 +292,8 @@ def near_duplicates(
         links = link_fingerprints(first.select("fp"), scratch, radius, shard_rows)
     else:
         edges = _proposals(first.select("fp"), scratch, wide_radius, tables, shard_rows)
-        heads = first.select(F.col("first.uid").alias("head"))
-        texts = rows.join(heads, F.col("uid") == F.col("head")).select("fp", F.col(inner[text_col]).alias("text"))
-        links = _checked(edges, texts, scratch, shingle, similarity)
+        scratch.release()
+        links = _checked(edges, first, rows, inner[text_col], scratch, shingle, similarity)
     groups = components(links, scratch)
     named = first.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
     heads = named.groupBy(F.col("component").alias("c")).agg(F.min("first").alias("head"))
@@ -296,6 +302,7 @@ def near_duplicates(
     )
     whole = scratch.save(whole, "named")
     scratch.drop(first, links)
-    out = rows.join(whole, F.col("fp") == F.col("fp2")).withColumn("keeper", F.col("uid") == F.col("head_uid"))
+    # with texts on one side a merge join at every size, without them as Spark sees fit
+    out = rows.join(whole.hint("merge") if carry else whole, F.col("fp") == F.col("fp2")).withColumn("keeper", F.col("uid") == F.col("head_uid"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return out.select(*[F.col(a).alias(c) for c, a in inner.items()], hexed, "component_id", *(["keeper"] if carry else []))
