@@ -17,11 +17,16 @@ so every repeated run is guaranteed to share a fingerprint:
 
 Line hashes have 64 bits and only select; windows are compared by 128 bits.
 
+With ``passage_words`` set, shorter runs count too: a run of one line or more that has more than that many words and
+also occurs at another place.  Each such run is a window of its own size, so texts of fewer than ``run`` lines take
+part; the first place keeps it as above.  A line's first place is never deleted: a later run's lines all stand in the
+first one too.  Without it only runs of ``run`` lines are deleted, and a single repeated line stays at any length.
+
 Where a later occurrence overlaps the first one, as in a line repeated many times, the shared lines go too: one
 period of the repetition is left.
 
 Edge cases: a null text stays null and an empty one stays empty; texts of fewer than ``run`` non-blank lines are left
-alone; rows that are equal in id and text share one place and one fate; a document whose lines all go stays, with
+alone without ``passage_words``; rows that are equal in id and text share one place and one fate; a document whose lines all go stays, with
 an empty text (or its blank lines); a last line break is kept if the text had one; an empty table gives an empty
 result; extra columns pass through, except those named like a result column, which are replaced.
 """
@@ -36,31 +41,44 @@ from gatehouse.llm._scratch import Scratch
 _ADDED = ("kept_text", "n_lines", "n_deleted")
 #: Characters that make a line blank, and the pattern of a line that is not.
 _FILLED = r"[^\x20\x09-\x0D]"
+_WORD = _FILLED + "+"
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def _windows(filled: Column, run: int) -> Column:
-    """Per window: its first line, the place of its fingerprint, the fingerprint and the digest of its lines.
+def _windows(filled: Column, run: int, passage_words: int | None) -> Column:
+    """Per window: its first line, its lines, the place of its fingerprint, the fingerprint and the digest of its lines.
 
     ``filled`` holds structs of hash and digest of the non-blank lines in order; lines are counted among those.
     """
+    n = F.size(filled)
 
-    def window(i: Column) -> Column:
-        part = F.slice(filled, i + 1, F.lit(run))
+    def window(i: Column, size: int) -> Column:
+        part = F.slice(filled, i + 1, F.lit(size))
         # places count down so that the smallest pair is the rightmost of equal hashes
         least = F.array_min(F.transform(part, lambda x, k: F.struct(x.hash.alias("hash"), (-k).alias("back"))))
         name = F.unhex(F.md5(F.array_join(F.transform(part, lambda x: x.digest), ",")))
-        return F.struct(i.alias("at"), (i - least["back"]).alias("place"), least["hash"].alias("print"), name.alias("name"))
+        return F.struct(i.alias("at"), F.lit(size).alias("size"), (i - least["back"]).alias("place"), least["hash"].alias("print"), name.alias("name"))
 
-    n = F.size(filled)
-    return F.when(n >= run, F.transform(F.sequence(F.lit(0), n - run), window)).otherwise(F.array())
+    def long_enough(i: Column, size: int) -> Column:
+        return F.aggregate(F.slice(filled, i + 1, F.lit(size)), F.lit(0), lambda total, x: total + x.words) > passage_words
+
+    def of_size(size: int) -> Column:
+        starts = F.sequence(F.lit(0), n - size)
+        if size < run:
+            starts = F.filter(starts, lambda i: long_enough(i, size))
+        return F.when(n >= size, F.transform(starts, lambda i: window(i, size))).otherwise(F.array())
 
+    return F.concat(*[of_size(size) for size in range(run if passage_words is None else 1, run + 1)])
 
-def delete_repeated_runs(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``kept_text``, ``n_lines`` (not blank) and ``n_deleted``."""
+
+def delete_repeated_runs(docs: DataFrame, run: int = 3, id_col: str = "doc_id", text_col: str = "text", passage_words: int | None = None) -> DataFrame:
+    """``docs`` with ``kept_text``, ``n_lines`` (not blank) and ``n_deleted``.
+
+    ``passage_words`` also deletes later copies of shorter runs of more words than that, see above.
+    """
     scratch = Scratch(docs.sparkSession, "lines")
     columns = [c for c in docs.columns if c not in _ADDED or c in (id_col, text_col)]
     inner = {c: f"d{i}" for i, c in enumerate(columns)}
@@ -69,10 +87,11 @@ def delete_repeated_runs(docs: DataFrame, run: int = 3, id_col: str = "doc_id",
     rows = rows.withColumn("key", F.unhex(F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(text, F.lit(""))))))
 
     numbered = rows.where(text.isNotNull()).select(doc_id.alias("id"), "key", F.filter(_lines(text), lambda x: x.rlike(_FILLED)).alias("lines"))
-    hashed = numbered.where(F.size("lines") >= run).select(
-        "id", "key", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("hash"), F.md5(x).alias("digest"))).alias("filled")
+    words = (lambda x: [F.regexp_count(x, F.lit(_WORD)).alias("words")]) if passage_words is not None else (lambda x: [])
+    hashed = numbered.where(F.size("lines") >= (run if passage_words is None else 1)).select(
+        "id", "key", F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("hash"), F.md5(x).alias("digest"), *words(x))).alias("filled")
     )
-    windows = hashed.select("id", "key", F.explode(_windows(F.col("filled"), run)).alias("w")).select("id", "key", "w.*")
+    windows = hashed.select("id", "key", F.explode(_windows(F.col("filled"), run, passage_words)).alias("w")).select("id", "key", "w.*")
     windows = scratch.save(windows, "windows")
     # fingerprints with more than one position
     spot = F.struct("id", "key", "place")
@@ -81,7 +100,7 @@ def delete_repeated_runs(docs: DataFrame, run: int = 3, id_col: str = "doc_id",
     # the windows that selected them, by all their lines
     here = F.struct("id", "key", "at")
     first = met.groupBy(F.col("name").alias("n")).agg(F.min(here).alias("one"), F.max(here).alias("other")).where("one <> other").select("n", "one")
-    later = met.join(first, F.col("name") == F.col("n")).where(here != F.col("one")).select("key", "at")
+    later = met.join(first, F.col("name") == F.col("n")).where(here != F.col("one")).select("key", F.struct("at", "size").alias("at"))
     gone = scratch.save(later.groupBy(F.col("key").alias("k")).agg(F.collect_set("at").alias("ats")), "gone")
     scratch.drop(windows)
 
@@ -90,7 +109,7 @@ def delete_repeated_runs(docs: DataFrame, run: int = 3, id_col: str = "doc_id",
     joined = rows.join(gone.hint("merge"), F.col("key") == F.col("k"), "left").withColumn("all", _lines(text))
     places = F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda i: F.get("all", i).rlike(_FILLED))
     joined = joined.withColumn("places", F.when(text.isNotNull(), places))
-    lost = F.transform(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + run - 1))), lambda k: F.get("places", k))
+    lost = F.transform(F.flatten(F.transform("ats", lambda a: F.sequence(a["at"], a["at"] + a["size"] - 1))), lambda k: F.get("places", k))
     stay = F.when(F.col("ats").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("all") - 1), lost))
     joined = joined.withColumn("stay", stay)
     kept = F.when(F.col("stay").isNull(), text).otherwise(F.array_join(F.transform("stay", lambda i: F.get("all", i)), "\n"))

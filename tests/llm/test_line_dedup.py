@@ -1,6 +1,7 @@
 import random
 import re
 
+import corpus_pipeline
 from gatehouse.llm import line_dedup
 
 FILLED = re.compile(r"[^\x20\x09-\x0D]")
@@ -46,3 +47,45 @@ def test_against_plain_version(spark):
 
 def test_empty_table(spark):
     assert line_dedup.delete_repeated_runs(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def plain_passages(rows, run, passage_words):
+    order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    seen, out = set(), {}
+    for i, text in order:
+        lines = (text or "").split("\n")
+        places = [n for n, x in enumerate(lines) if FILLED.search(x)]
+        gone = set()
+        for size in range(1, run + 1):
+            for k in range(len(places) - size + 1):
+                name = tuple(lines[p] for p in places[k : k + size])
+                if size < run and sum(len(re.findall(FILLED.pattern + "+", x)) for x in name) <= passage_words:
+                    continue
+                if name in seen:
+                    gone |= set(places[k : k + size])
+                seen.add(name)
+        kept = "\n".join(x for n, x in enumerate(lines) if n not in gone)
+        out[i, text] = (None if text is None else kept, 0 if text is None else len(places), len(gone))
+    return out
+
+
+def test_short_passages_against_plain_version(spark):
+    rng = random.Random(4)
+    words = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    pool = [words(n) for n in (2, 5, 9, 10, 11, 14, 30)] + ["a b", "", " \t"]
+    rows = [(0, None), (1, ""), (2, pool[6]), (3, pool[6])]
+    rows += [(i, "\n".join(rng.choice(pool) if rng.random() < 0.5 else words(rng.randrange(1, 14)) for _ in range(rng.randrange(9)))) for i in range(4, 80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = plain_passages(rows, 3, 10)
+    for r in line_dedup.delete_repeated_runs(docs, passage_words=10).collect():
+        assert (r.kept_text, r.n_lines, r.n_deleted) == want[r.doc_id, r.text]
+
+
+def test_pipeline_drops_a_passage_of_one_or_two_lines(spark):
+    line = " ".join(f"w{i}" for i in range(51))
+    pair = "\n".join(" ".join(f"{c}{i}" for i in range(30)) for c in "pq")
+    texts = [f"own 0\n{line}\nend 0", f"own 1\n{line}\nend 1", line, f"own 3\n{pair}\nend 3", pair, "own 5\nshort\nend 5", "own 6\nshort\nend 6"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    want = [texts[0], "own 1\nend 1", "", texts[3], "", texts[5], texts[6]]
+    assert got == {i: (t, len(t)) for i, t in enumerate(want)}
