@@ -16,11 +16,12 @@ reachability is all that the components need.
 Trees are sent to the tasks that can have an answer in them, not to all tasks: broadcasting every shard to every
 query would compare each fingerprint with each shard and grow with the square of the corpus.
 
-Wider radii: with ``similarity`` set, links are pairs whose shingle sets have at least that Jaccard similarity, and
-fingerprints only propose them.  At 0.8 those differ in up to ``wide_radius`` bits, too many for whole blocks to agree,
-so the shards are named by ``tables`` seeded samples of the bits, of a size that follows the number of fingerprints
-(a pair that differs in 10 bits is missed by all of 40 samples of 13 bits with a probability near 3 %).  Each shard's
-forest is grown in an order of its own, and every edge is then checked exactly on the shingle sets of both texts.
+Similarity: with ``similarity`` set, links are pairs whose shingle sets have at least that Jaccard similarity.
+Fingerprints do not propose them: at 0.8 they differ in 14 bits of 64 or more, which no affordable number of samples
+of the bits finds in a large corpus.  Min-wise hashes do: a text has ``bands`` keys of ``_PER_BAND`` minima each, and a
+pair of similarity s shares a key with a probability that depends on s alone, so recall does not fall with the corpus.
+``bands`` follows from the probability ``miss`` that a pair exactly at the similarity shares none.  The texts that share
+a key propose a star, and every edge is checked exactly on the shingle sets of both texts.
 
 Edge cases: null and empty texts have fingerprint zero and are linked like any other; repeated rows share a
 fingerprint, hence a component; rows with a null id are fingerprinted but never name a component unless no row of
@@ -30,6 +31,8 @@ column, which are replaced.
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -41,13 +44,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gatehouse.llm._scratch import Scratch, small
+from gatehouse.llm._scratch import Scratch
 from gatehouse.llm.components import components
-from gatehouse.llm.vectors import cells
 
 SEED = 42
 SHINGLE = 3
 _CHUNK = 1 << 16  # shingle hashes held at a time
+_PER_BAND = 6  # min-wise hashes that agree in a band
 
 
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -55,19 +58,29 @@ def _bit_counts(hashes: np.ndarray) -> np.ndarray:
     return np.unpackbits(hashes.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(text: str | None, width: int = SHINGLE) -> int:
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: ASCII letters and white space only
+
+
+def _shingles(words: list[bytes], width: int) -> Iterator[np.ndarray]:
+    """The hashes of all shingles in order, so many at a time; nothing without words."""
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     width = min(width, len(words))
-    total, n, digest = np.zeros(64, np.int64), len(words) - width + 1, xxhash.xxh64_intdigest
+    n, digest = len(words) - width + 1, xxhash.xxh64_intdigest
     for at in range(0, n, _CHUNK):
         stop = min(n, at + _CHUNK)
         spans = zip(starts[at:stop].tolist(), ends[at + width - 1 : stop + width - 1].tolist(), strict=True)
-        total += _bit_counts(np.array([digest(joined[a:b], SEED) for a, b in spans], dtype=np.uint64))
+        yield np.array([digest(joined[a:b], SEED) for a, b in spans], dtype=np.uint64)
+
+
+def fingerprint(text: str | None, width: int = SHINGLE) -> int:
+    total, n = np.zeros(64, np.int64), 0
+    for hashes in _shingles(_words(text), width):
+        total, n = total + _bit_counts(hashes), n + len(hashes)
     return int.from_bytes(np.packbits(2 * total > n).tobytes(), "big")
 
 
@@ -196,113 +209,128 @@ def link_fingerprints(prints: DataFrame, scratch: Scratch, radius: int = 2, shar
     return scratch.save(found.distinct(), "links")
 
 
-def _masks(bits: int, tables: int, seed: int = 11) -> list[int]:
-    """Signed 64-bit masks of ``bits`` sampled bits each."""
-    rng = np.random.default_rng(seed)
-    masks = [sum(1 << int(b) for b in rng.choice(64, bits, replace=False)) for _ in range(tables)]
-    return [m - (1 << 64) if m >> 63 else m for m in masks]
-
-
-def _cell_forests(radius: int):
-    def forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in cells(batches):
-            if cell.num_rows < 2:
-                continue
-            side, prints = cell.column("side").to_numpy(), cell.column("fp").to_numpy().view(np.uint64)
-            # the order within a shard depends on the shard, so shards propose different edges of one group
-            spin = np.uint64(int(cell.column("kind")[0].as_py()) * 2 + 1) * np.uint64(0x9E3779B97F4A7C15)
-            order = np.argsort(prints * spin, kind="stable")
-            prints, side = prints[order], side[order]
-            other = prints[side == 1].tolist()
-            edges = _forest(prints[side != 1].tolist(), other or None, radius) if (side != 1).any() else []
-            pairs = np.array(edges, dtype=np.uint64).reshape(-1, 2)
-            low, high = pairs.min(axis=1, initial=2**64 - 1), pairs.max(axis=1, initial=0)
-            yield pa.RecordBatch.from_arrays([pa.array(low.view(np.int64)), pa.array(high.view(np.int64))], names=["a", "b"])
-
-    return forests
-
-
-def _proposals(prints: DataFrame, scratch: Scratch, radius: int, tables: int, shard_rows: int, fill: int = 32) -> DataFrame:
-    """Edges ``(a, b)`` of fingerprints within ``radius`` that meet in a sampled shard: a forest per shard."""
-    bits = max(8, (prints.count() // fill).bit_length())
-    keys = [F.struct(F.lit(n).alias("kind"), F.col("fp").bitwiseAND(F.lit(m)).alias("value")) for n, m in enumerate(_masks(bits, tables))]
-    rows = prints.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.kind", "k.value")
-    large = rows.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > shard_rows)
-    large = scratch.save(large.select(F.col("kind").alias("k"), F.col("value").alias("v"), F.ceil(F.col("n") / shard_rows).cast("int").alias("parts")), "large")
-    rows = rows.join(small(large), (F.col("kind") == F.col("k")) & (F.col("value") == F.col("v")), "left")
-    rows = rows.withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-    met = rows.select("kind", "value", "fp", F.explode(_spread()).alias("c"))
-    met = met.select(F.concat_ws("/", "kind", "value", "c.p", "c.q").alias("cell"), "kind", "c.side", "fp")
-    found = met.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_forests(radius), "a long, b long")
-    return scratch.save(found.distinct(), "proposals")
+def band_count(similarity: float, miss: float) -> int:
+    """How many bands leave a pair at the similarity without a common key with at most the probability ``miss``."""
+    met = similarity**_PER_BAND
+    return 1 if met >= 1 else math.ceil(math.log(miss) / math.log1p(-met))
+
+
+def _factors(n: int, seed: int = 11) -> np.ndarray:
+    return np.random.default_rng(seed).integers(0, 2**64, n, dtype=np.uint64) | np.uint64(1)
+
+
+def _signatures(width: int, bands: int):
+    """Per text: its fingerprint, the digest of its words and the keys of its bands."""
+    factors, mix = _factors(bands * _PER_BAND), _factors(_PER_BAND, 12)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints, digests, keys = [], [], []
+            for text in batch.column(batch.num_columns - 1):
+                words = _words(text.as_py())
+                total, n, least = np.zeros(64, np.int64), 0, np.full(len(factors), 2**64 - 1, np.uint64)
+                for hashes in _shingles(words, width):
+                    total, n = total + _bit_counts(hashes), n + len(hashes)
+                    for at in range(0, len(hashes), 512):  # stays in cache
+                        np.minimum(least, (hashes[at : at + 512, None] * factors).min(axis=0), out=least)
+                prints.append(int.from_bytes(np.packbits(2 * total > n).tobytes(), "big", signed=True))
+                digests.append(hashlib.md5(b" ".join(words)).digest())
+                keys.append((least.reshape(bands, _PER_BAND) * mix).sum(axis=1, dtype=np.uint64).view(np.int64))
+            added = [pa.array(prints, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], names=[*batch.schema.names[:-1], "fp", "digest", "bands"])
+
+    return rows
+
+
+def with_signatures(docs: DataFrame, columns: list[tuple[Column, str]], text: Column, width: int, bands: int) -> DataFrame:
+    """The named columns with ``fp``, ``digest`` and ``bands``."""
+    rows = docs.select(*[c.alias(n) for c, n in columns], text.alias("_text"))
+    added = [T.StructField("fp", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
+    return rows.mapInArrow(_signatures(width, bands), T.StructType([*rows.schema.fields[:-1], *added]))
+
+
+def _proposals(first: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges ``(a, b)`` of nodes that share a band's key: a star for each key."""
+    rows = first.select("node", F.posexplode("bands").alias("kind", "value"))
+    # bands take their heads by four orders, so that one group is not tied to one head
+    order = F.xxhash64("node", F.pmod("kind", F.lit(4)))
+    heads = rows.groupBy(F.col("kind").alias("k"), F.col("value").alias("v")).agg(F.min_by("node", order).alias("head"), F.count(F.lit(1)).alias("n"))
+    met = rows.join(heads.where("n > 1").hint("merge"), (F.col("kind") == F.col("k")) & (F.col("value") == F.col("v"))).where("node <> head")
+    return scratch.save(met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), "proposals")
 
 
 def _shingle_sets(width: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for text in batch.column(1):
-                words = (text.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-                n = max(1, len(words) - width + 1) if words else 0
-                found.append(np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(n)], dtype=np.uint64)).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["fp", "grams"])
+            texts = (_words(text.as_py()) for text in batch.column(1))
+            found = [np.unique(np.concatenate([np.zeros(0, np.uint64), *_shingles(words, width)])).view(np.int64) for words in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["node", "grams"])
 
     return sets
 
 
-def _checked(edges: DataFrame, first: DataFrame, rows: DataFrame, text: str, scratch: Scratch, width: int, similarity: float) -> DataFrame:
-    """Those edges whose texts (the first row of each fingerprint) have shingle sets of at least the Jaccard similarity.
-
-    Only fingerprints with an edge are looked up, and their texts move once.
-    """
+def _sets(edges: DataFrame, rows: DataFrame, text: str, scratch: Scratch, width: int) -> DataFrame:
+    """``(node, grams)`` of the nodes that have an edge: only their texts are looked up, and they move once."""
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    heads = first.join(nodes, F.col("fp") == F.col("node")).select(F.col("first.uid").alias("head"))
     # a merge join at every size: a side that grows with the corpus is never broadcast
-    texts = rows.join(heads.hint("merge"), F.col("uid") == F.col("head")).select("fp", F.col(text).alias("text"))
-    sets = scratch.save(texts.mapInArrow(_shingle_sets(width), "fp long, grams array<long>"), "sets")
-    scratch.release()
+    texts = rows.join(nodes.hint("merge"), F.col("uid") == F.col("node")).select("node", F.col(text).alias("text"))
+    return scratch.save(texts.mapInArrow(_shingle_sets(width), "node long, grams array<long>"), "sets")
+
+
+def _checked(edges: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float) -> DataFrame:
+    """Those edges whose texts have shingle sets of at least the Jaccard similarity."""
     left, right = sets.toDF("l", "l_grams"), sets.toDF("r", "r_grams")
-    both = edges.join(left, F.col("a") == F.col("l")).join(right, F.col("b") == F.col("r"))
+    both = edges.join(left.hint("merge"), F.col("a") == F.col("l")).join(right.hint("merge"), F.col("b") == F.col("r"))
     shared = F.size(F.array_intersect("l_grams", "r_grams"))
     held = scratch.save(both.where(shared >= similarity * (F.size("l_grams") + F.size("r_grams") - shared)).select("a", "b"), "checked")
-    scratch.drop(sets)
     scratch.release()
     return held
 
 
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shard_rows: int = 512, carry: bool = False, shingle: int = SHINGLE,
-    similarity: float | None = None, wide_radius: int = 14, tables: int = 40,
+    similarity: float | None = None, miss: float = 1e-4,
 ) -> DataFrame:
     """``id_col``, ``fingerprint`` (16 hexadecimal digits) and ``component_id``, one row per document.
 
     ``carry`` keeps the other columns too, and adds ``keeper``: true for one document of each component.
-    ``similarity`` replaces the radius by an exact check of shingle sets, see above; it needs ``carry``.
+    ``similarity`` replaces the radius by an exact check of shingle sets, see above; it needs ``carry``.  ``miss`` is the
+    probability that a pair exactly at the similarity is not proposed.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     added = ("fingerprint", "component_id", "keeper")
     kept = [c for c in docs.columns if c not in added or c in (id_col, text_col)] if carry else [id_col]
     inner = {c: f"d{i}" for i, c in enumerate(kept)}
     at = inner[id_col]
-    rows = with_fingerprints(docs, [(F.col(f"`{c}`"), a) for c, a in inner.items()], F.col(f"`{text_col}`"), shingle)
+    columns = [(F.col(f"`{c}`"), a) for c, a in inner.items()]
+    if similarity is None:
+        rows = with_fingerprints(docs, columns, F.col(f"`{text_col}`"), shingle)
+    else:
+        rows = with_signatures(docs, columns, F.col(f"`{text_col}`"), shingle, band_count(similarity, miss))
     rows = scratch.save(rows.withColumn("uid", F.monotonically_increasing_id()), "prints")
     # every group of equal fingerprints is one vertex; its name is its smallest id
-    first = scratch.save(rows.groupBy("fp").agg(F.min(F.struct(F.col(at).isNull().alias("none"), F.col(at).alias("id"), "uid")).alias("first")), "first")
+    key = "fp"
+    head = F.struct(F.col(at).isNull().alias("none"), F.col(at).alias("id"), "uid")
     if similarity is None:
+        first = scratch.save(rows.groupBy(key).agg(F.min(head).alias("first")).withColumn("node", F.col("fp")), "first")
         links = link_fingerprints(first.select("fp"), scratch, radius, shard_rows)
     else:
-        edges = _proposals(first.select("fp"), scratch, wide_radius, tables, shard_rows)
+        first = rows.groupBy(key).agg(F.min(head).alias("first"), F.min_by("bands", head).alias("bands"))
+        first = scratch.save(first.withColumn("node", F.col("first.uid")), "first")
+        edges = _proposals(first, scratch)
         scratch.release()
-        links = _checked(edges, first, rows, inner[text_col], scratch, shingle, similarity)
-    groups = components(links, scratch)
-    named = first.join(groups, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("component"))
+        sets = _sets(edges, rows, inner[text_col], scratch, shingle)
+        links = _checked(edges, sets, scratch, similarity)
+        scratch.drop(sets)
+    groups = components(links, scratch).withColumnRenamed("node", "member")
+    named = first.join(groups, F.col("node") == F.col("member"), "left").select(key, "first", F.coalesce("component", "node").alias("component"))
     heads = named.groupBy(F.col("component").alias("c")).agg(F.min("first").alias("head"))
     whole = named.join(heads, F.col("component") == F.col("c")).select(
-        F.col("fp").alias("fp2"), F.col("head.id").alias("component_id"), F.col("head.uid").alias("head_uid")
+        F.col(key).alias("key2"), F.col("head.id").alias("component_id"), F.col("head.uid").alias("head_uid")
     )
     whole = scratch.save(whole, "named")
     scratch.drop(first, links)
     # with texts on one side a merge join at every size, without them as Spark sees fit
-    out = rows.join(whole.hint("merge") if carry else whole, F.col("fp") == F.col("fp2")).withColumn("keeper", F.col("uid") == F.col("head_uid"))
+    out = rows.join(whole.hint("merge") if carry else whole, F.col(key) == F.col("key2")).withColumn("keeper", F.col("uid") == F.col("head_uid"))
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
     return out.select(*[F.col(a).alias(c) for c, a in inner.items()], hexed, "component_id", *(["keeper"] if carry else []))

@@ -116,3 +116,28 @@ def test_similarity_against_all_pairs(spark):
         got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, carry=True, shingle=5, similarity=0.8, shard_rows=shard_rows).collect()}
         assert all(parent[i] == parent[c] for i, c in got.items())  # never too much
         assert sum(got[i] == parent[i] for i in got) >= 0.98 * len(rows)
+
+
+def similar_pairs(rng, n, size=204, edits=4):
+    """Pairs of texts of 200 shingles of five words whose similarity is 0.8 or just above."""
+    out = []
+    for i in range(n):
+        left = [f"w{i}_{rng.randrange(10**6)}" for _ in range(size)]
+        right = list(left)
+        for k in range(edits):
+            right[20 + 40 * k] = f"edit{i}_{k}"
+        out.append((" ".join(left), " ".join(right[:size - 1])))  # 4 edits cost 5 shingles each, the cut one more
+    return out
+
+
+def test_recall_at_the_similarity_does_not_depend_on_the_corpus(spark):
+    bands = simhash.band_count(0.8, 1e-4)
+    assert (1 - 0.8**simhash._PER_BAND) ** bands <= 1e-4 < (1 - 0.8**simhash._PER_BAND) ** (bands - 1)
+    pairs = similar_pairs(random.Random(3), 300)
+    grams = lambda t: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)}
+    for a, b in pairs:
+        assert 0.8 <= len(grams(a) & grams(b)) / len(grams(a) | grams(b)) < 0.82
+    rows = [(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.near_duplicates(docs, carry=True, shingle=5, similarity=0.8).collect()
+    assert sum(r.component_id == r.doc_id - r.doc_id % 2 for r in got) == len(rows)
