@@ -23,6 +23,12 @@ pair of similarity s shares a key with a probability that depends on s alone, so
 ``bands`` follows from the probability ``miss`` that a pair exactly at the similarity shares none.  The texts that share
 a key propose a star, and every edge is checked exactly on the shingle sets of both texts.
 
+A star spans its group before the check, so links between two of its leaves can be lost with the edges that fail.
+Hence a second step: texts that proposals connect form a family, and where the edges that held leave a family in more
+than one piece, all its pairs across pieces are compared exactly.  Large families are split into parts of ``shard_rows``
+texts that meet in cells as above; families that are in one piece already, like a large group of close copies, take no
+part.  So only pairs whose texts no chain of proposals connects can be missed.
+
 Edge cases: null and empty texts have fingerprint zero and are linked like any other; repeated rows share a
 fingerprint, hence a component; rows with a null id are fingerprinted but never name a component unless no row of
 it has an id; an empty table gives an empty result; other columns pass through, except those named like a result
@@ -46,6 +52,7 @@ from pyspark.sql import types as T
 
 from gatehouse.llm._scratch import Scratch
 from gatehouse.llm.components import components
+from gatehouse.llm.vectors import cells
 
 SEED = 42
 SHINGLE = 3
@@ -287,6 +294,75 @@ def _checked(edges: DataFrame, sets: DataFrame, scratch: Scratch, similarity: fl
     return held
 
 
+def _joins(grams: list[np.ndarray], side: np.ndarray, piece: list[int], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of sets of at least the similarity that join the pieces as all such pairs do; sides 0 and 1 only meet each other."""
+    parent = {x: x for x in piece}
+
+    def root(x: int) -> int:
+        while (up := parent[x]) != x:
+            parent[x] = x = parent[up]  # halves the path
+        return x
+
+    sizes = np.array([len(g) for g in grams], dtype=np.int64)
+    owner = np.repeat(np.arange(len(grams)), sizes)
+    _, gram = np.unique(np.concatenate(grams), return_inverse=True)
+    order = np.argsort(gram, kind="stable")
+    holders, counts = owner[order], np.bincount(gram)
+    starts = np.cumsum(counts) - counts
+    ends = np.cumsum(sizes)
+    joined = []
+    for i in range(len(grams)):
+        if side[i] == 0:
+            continue
+        mine = gram[ends[i] - sizes[i] : ends[i]]
+        mine = mine[counts[mine] > 1]
+        n = counts[mine]
+        at = np.arange(n.sum()) + np.repeat(starts[mine] - (np.cumsum(n) - n), n)
+        shared = np.bincount(holders[at], minlength=len(grams))
+        close = (shared >= similarity * (sizes + sizes[i] - shared)) & ((side == 0) if side[i] == 1 else (np.arange(len(grams)) < i))
+        for j in np.flatnonzero(close).tolist():
+            a, b = root(piece[i]), root(piece[j])
+            if a != b:
+                parent[a] = b
+                joined.append((j, i))
+    return joined
+
+
+def _cell_joins(similarity: float):
+    def joins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in cells(batches):
+            piece = cell.column("piece").to_pylist()
+            if len(set(piece)) < 2:
+                continue
+            grams = [g.values.to_numpy().view(np.uint64) for g in cell.column("grams")]
+            found = _joins(grams, cell.column("side").to_numpy(), piece, similarity)
+            nodes = cell.column("node").to_numpy()
+            pairs = np.sort(nodes[np.array(found, dtype=np.int64).reshape(-1, 2)], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    return joins
+
+
+def _completed(edges: DataFrame, held: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float, shard_rows: int) -> DataFrame:
+    """``held`` and the links that it lacks inside the families that ``edges`` connect."""
+    families = components(edges, scratch).withColumnRenamed("component", "family")
+    pieces = components(held, scratch).toDF("member", "piece")
+    members = families.join(pieces.hint("merge"), F.col("node") == F.col("member"), "left").select("node", "family", F.coalesce("piece", "node").alias("piece"))
+    members = scratch.save(members, "members")
+    torn = members.groupBy(F.col("family").alias("f")).agg(F.min("piece").alias("low"), F.max("piece").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
+    parts = F.ceil(F.col("n") / shard_rows).cast("int").alias("parts")
+    todo = members.join(torn.select("f", parts).hint("merge"), F.col("family") == F.col("f"))
+    todo = todo.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    todo = todo.join(sets.withColumnRenamed("node", "owner").hint("merge"), F.col("node") == F.col("owner"))
+    met = todo.select("family", "piece", "node", "grams", F.explode(_spread()).alias("c"))
+    met = met.select(F.concat_ws("/", "family", "c.p", "c.q").alias("cell"), F.col("c.side").alias("side"), "piece", "node", "grams")
+    found = met.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_joins(similarity), "a long, b long")
+    links = scratch.save(held.union(found).distinct(), "links")
+    scratch.drop(members, held)
+    scratch.release()
+    return links
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = 2, shard_rows: int = 512, carry: bool = False, shingle: int = SHINGLE,
     similarity: float | None = None, miss: float = 1e-4,
@@ -320,8 +396,9 @@ def near_duplicates(
         edges = _proposals(first, scratch)
         scratch.release()
         sets = _sets(edges, rows, inner[text_col], scratch, shingle)
-        links = _checked(edges, sets, scratch, similarity)
-        scratch.drop(sets)
+        held = _checked(edges, sets, scratch, similarity)
+        links = _completed(edges, held, sets, scratch, similarity, shard_rows)
+        scratch.drop(edges, sets)
     groups = components(links, scratch).withColumnRenamed("node", "member")
     named = first.join(groups, F.col("node") == F.col("member"), "left").select(key, "first", F.coalesce("component", "node").alias("component"))
     heads = named.groupBy(F.col("component").alias("c")).agg(F.min("first").alias("head"))

@@ -141,3 +141,29 @@ def test_recall_at_the_similarity_does_not_depend_on_the_corpus(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = simhash.near_duplicates(docs, carry=True, shingle=5, similarity=0.8).collect()
     assert sum(r.component_id == r.doc_id - r.doc_id % 2 for r in got) == len(rows)
+
+
+def test_one_group_of_edited_copies_against_brute_force(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(5000)]
+    base = [rng.choice(words) for _ in range(200)]
+    texts = []
+    for _ in range(300):
+        text = list(base)
+        for _ in range(rng.randrange(3, 8)):
+            text[rng.randrange(200)] = rng.choice(words)
+        texts.append(text)
+    grams = [{tuple(t[k : k + 5]) for k in range(196)} for t in texts]
+    want = list(range(300))
+    links = 0
+    for i in range(300):
+        for j in range(i):
+            if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]):
+                links += 1
+                a, b = sorted((want[i], want[j]))
+                want = [a if x == b else x for x in want]
+    assert links > 40 and len(set(want)) > 100
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for shard_rows in (40, 512):
+        got = simhash.near_duplicates(docs, carry=True, shingle=5, similarity=0.8, shard_rows=shard_rows).collect()
+        assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want))
