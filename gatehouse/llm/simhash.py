@@ -29,6 +29,9 @@ than one piece, all its pairs across pieces are compared exactly.  Large familie
 texts that meet in cells as above; families that are in one piece already, like a large group of close copies, take no
 part.  So only pairs whose texts no chain of proposals connects can be missed.
 
+There the vertices are distinct texts by the digest of their words: texts of one repeated phrase can share a fingerprint
+and differ in all the rest.
+
 Edge cases: null and empty texts have fingerprint zero and are linked like any other; repeated rows share a
 fingerprint, hence a component; rows with a null id are fingerprinted but never name a component unless no row of
 it has an id; an empty table gives an empty result; other columns pass through, except those named like a result
@@ -384,8 +387,8 @@ def near_duplicates(
     else:
         rows = with_signatures(docs, columns, F.col(f"`{text_col}`"), shingle, band_count(similarity, miss))
     rows = scratch.save(rows.withColumn("uid", F.monotonically_increasing_id()), "prints")
-    # every group of equal fingerprints is one vertex; its name is its smallest id
-    key = "fp"
+    # every group of equal fingerprints, or of equal words where similarity counts, is one vertex; its name is its smallest id
+    key = "fp" if similarity is None else "digest"
     head = F.struct(F.col(at).isNull().alias("none"), F.col(at).alias("id"), "uid")
     if similarity is None:
         first = scratch.save(rows.groupBy(key).agg(F.min(head).alias("first")).withColumn("node", F.col("fp")), "first")

@@ -167,3 +167,19 @@ def test_one_group_of_edited_copies_against_brute_force(spark):
     for shard_rows in (40, 512):
         got = simhash.near_duplicates(docs, carry=True, shingle=5, similarity=0.8, shard_rows=shard_rows).collect()
         assert {r.doc_id: r.component_id for r in got} == dict(enumerate(want))
+
+
+def test_texts_of_one_repeated_phrase_stay_apart(spark):
+    rows = [(i, "very common phrase " * 200 + " ".join(f"own{i}_{k}" for k in range(150))) for i in range(4)]
+    rows += [(4, rows[0][1].upper().replace(" ", "\n")), (5, rows[1][1] + " more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs, carry=True, shingle=5, similarity=0.8).collect()}
+    assert {i: r.component_id for i, r in got.items()} == {0: 0, 1: 1, 2: 2, 3: 3, 4: 0, 5: 1}
+
+
+def test_texts_of_one_fingerprint_stay_apart(spark):
+    rows = [(i, "again " * 400 + " ".join(f"own{i}_{k}" for k in range(150))) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = simhash.near_duplicates(docs, carry=True, shingle=5, similarity=0.8).collect()
+    assert len({r.fingerprint for r in got}) == 1
+    assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 1, 2: 2}
