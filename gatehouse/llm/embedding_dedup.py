@@ -4,21 +4,24 @@
    possible (alternating sign codes and a Procrustes rotation), from a bounded sample of ``sample`` vectors; several
    starts give several independent groups of bits.  The vectors are not centred: the threshold bounds their angle at
    the origin, and the chance that a bit agrees follows from it.
-2. Tables.  The code is cut into substrings, one table each.  Vectors with one label and an equal substring meet in a
-   bucket.  The substring length grows with the logarithm of the largest label, so buckets keep their size, and the
-   number of tables follows from it: enough that a pair at the threshold is missed in all tables with a probability
+2. Tables.  The code is cut into substrings, one table each.  Vectors with one label, one length and an equal substring
+   meet in a bucket.  The substring length grows with the logarithm of the largest label, so buckets keep their size, and
+   the number of tables follows from it: enough that a pair at the threshold is missed in all tables with a probability
    below ``miss``, at the bit agreement of that angle.
 3. Rerank.  In a bucket all cosines are taken in double precision from the original vectors.  A pair counts in the
    first table in which it meets, so no pair is counted twice.  A bucket reports counts per vector and a spanning forest of
-   its links, never pairs.  Buckets of more than ``part_rows`` vectors are cut into parts, and every pair of parts is a cell.
+   its links, never pairs.  Buckets of more than ``part_rows`` vectors are cut into parts, and every pair of parts is a
+   cell: no task holds more than two parts, and of a cell's cosines only ``_PAIRS`` at a time.
 
 Equal vectors of one label are one vertex with a multiplicity.  Components come from the forests.
 
 Bounds: the sample for the rotations (``sample`` vectors, those with the smallest hashes); every vector is indexed.
+Vectors of a length of which the sample has fewer rows than components are coded by random directions instead.
 
-Edge cases: vectors that are null, zero or hold null or non-finite components, vectors with a null label and vectors
-whose length is not the most frequent one link with nothing (n_links 0, a component of their own); repeated ids
-with equal vectors link with each other; an empty table gives an empty result; other columns are not read.
+Edge cases: vectors that are null, zero or hold null or non-finite components and vectors with a null label or a null id
+link with nothing (n_links 0, a component of their own); vectors of different lengths never link; repeated ids with
+equal vectors link with each other, with different vectors they are two vertices; an empty table gives an empty result;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,9 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatehouse.llm._scratch import Scratch, small
+from gatehouse.llm._scratch import Scratch
 from gatehouse.llm.components import components
-from gatehouse.llm.vectors import cells, common_length, matrix, usable
+from gatehouse.llm.vectors import cells, matrix, usable
+
+#: Cosines that a cell holds at a time, and the rows of one bucket that look up its size in one place.
+_PAIRS, _SALTS = 1 << 16, 8
 
 
 def learn_rotations(x: np.ndarray, groups: int, rounds: int = 30, seed: int = 0) -> np.ndarray:
@@ -59,63 +65,81 @@ def table_shape(largest: int, threshold: float, miss: float, fill: int = 48) ->
     return bits, math.ceil(math.log(miss) / math.log(1 - agree**bits))
 
 
-def _substrings(codes: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """Rows x tables: the value of each substring."""
-    weights = (1 << np.arange(bits)).astype(np.int64)
-    return codes[:, : bits * tables].reshape(len(codes), tables, bits).astype(np.int64) @ weights
+class Coder:
+    """Substrings of the code of unit vectors of any length."""
+
+    def __init__(self, learned: dict[int, np.ndarray], bits: int, tables: int):
+        self.learned, self.bits, self.tables = learned, bits, tables
+
+    def __call__(self, unit: np.ndarray) -> np.ndarray:
+        """Rows x tables: the value of each substring."""
+        length = unit.shape[1]
+        if length not in self.learned:
+            self.learned[length] = np.random.default_rng(length).standard_normal((length, self.bits * self.tables))
+        codes = unit @ self.learned[length][:, : self.bits * self.tables] >= 0
+        weights = (1 << np.arange(self.bits)).astype(np.int64)
+        return codes.reshape(len(unit), self.tables, self.bits).astype(np.int64) @ weights
 
 
-def _link_cells(threshold: float, projection: np.ndarray, bits: int, tables: int):
-    def forest(a: np.ndarray, b: np.ndarray, parent: dict[int, int]) -> list[tuple[int, int]]:
+def _link_cells(threshold: float):
+    def forest(a: np.ndarray, b: np.ndarray, parent: np.ndarray) -> list[tuple[int, int]]:
         def root(x: int) -> int:
-            while (up := parent.setdefault(x, x)) != x:
+            while (up := parent[x]) != x:
                 parent[x] = x = parent[up]
             return x
 
+        # pairs that one step shows to be joined already need no walk
+        apart = parent[a] != parent[b]
         edges = []
-        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        for x, y in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
             p, q = root(x), root(y)
             if p != q:
-                parent[p] = q
+                parent[max(p, q)] = min(p, q)
                 edges.append((x, y))
         return edges
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in cells(batches):
-            table, side = cell.column("table")[0].as_py(), cell.column("side").to_numpy()
-            ids, times = cell.column("rep").to_numpy(), cell.column("n").to_numpy()
-            x = matrix(cell.column("vector").combine_chunks())
-            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-            keys = _substrings(unit @ projection >= 0, bits, tables)
+            side, ids, times = (cell.column(name).to_numpy() for name in ("side", "node", "n"))
+            unit = matrix(cell.column("vector").combine_chunks())
+            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+            keys = matrix(cell.column("earlier").combine_chunks(), np.int64)
             own, other = np.flatnonzero(side != 1), np.flatnonzero(side == 1)
-            if not len(other):
+            inner = not len(other)
+            if inner:
                 other = own
-            inner = other is own
-            count, parent, edges = np.zeros(len(ids), np.int64), {}, []
-            for at in range(0, len(own), 256):
-                rows = own[at : at + 256]
+            count, parent, edges = np.zeros(len(ids), np.int64), np.arange(len(ids)), []
+            step = max(1, _PAIRS // max(1, len(other)))
+            for at in range(0, len(own), step):
+                rows = own[at : at + step]
                 near = unit[rows] @ unit[other].T >= threshold
                 if inner:
-                    near &= ids[rows][:, None] != ids[other][None, :]
+                    near[np.arange(len(rows)), np.arange(at, at + len(rows))] = False
                 i, j = np.nonzero(near)
-                # a pair counts in the first table where it meets
-                fresh = ~(keys[rows[i], :table] == keys[other[j], :table]).any(axis=1)
-                i, j = rows[i[fresh]], other[j[fresh]]
-                np.add.at(count, i, times[j])
+                i, j = rows[i], other[j]
+                if keys.shape[1]:
+                    # a pair counts in the first table where it meets
+                    fresh = ~(keys[i] == keys[j]).any(axis=1)
+                    i, j = i[fresh], j[fresh]
+                count += np.bincount(i, times[j], len(ids)).astype(np.int64)
                 if not inner:
-                    np.add.at(count, j, times[i])
-                edges += forest(ids[i], ids[j], parent)
+                    count += np.bincount(j, times[i], len(ids)).astype(np.int64)
+                edges += forest(i, j, parent)
             rows = np.flatnonzero(count)
-            a = [*ids[rows].tolist(), *(e[0] for e in edges)]
-            b = [*([None] * len(rows)), *(e[1] for e in edges)]
-            n = [*count[rows].tolist(), *([0] * len(edges))]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(n, pa.int64())], names=["a", "b", "n"])
+            first, second = np.array(edges, np.int64).reshape(-1, 2).T
+            none = pa.nulls(len(rows), pa.int64())
+            columns = [
+                pa.concat_arrays([pa.array(ids[rows]), pa.array(ids[first])]),
+                pa.concat_arrays([none, pa.array(ids[second])]),
+                pa.concat_arrays([pa.array(count[rows]), pa.array(np.zeros(len(edges), np.int64))]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "n"])
 
     return links
 
 
 def link_embeddings(
-    vectors: DataFrame, threshold: float = 0.93, miss: float = 0.001, sample: int = 8192, part_rows: int = 512,
+    vectors: DataFrame, threshold: float = 0.93, miss: float = 0.001, sample: int = 8192, part_rows: int = 1024,
     id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label",
 ) -> DataFrame:
     """``id_col, n_links, component_id, kept``, one row per vector."""
@@ -123,35 +147,41 @@ def link_embeddings(
     scratch = Scratch(spark, "itq")
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("vector"), F.col(f"`{label_col}`").alias("label"))
     fit = rows.where(usable(F.col("vector")) & F.col("label").isNotNull() & F.col("id").isNotNull())
-    length = common_length(fit, "vector")
-    fit = fit.where(F.size("vector") == length)
-    distinct = scratch.save(fit.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "distinct")
-    counts = distinct.groupBy("label").agg(F.count(F.lit(1)).alias("rows"))
-    largest = counts.agg(F.max("rows")).first()[0] or 0
-    bits, tables = table_shape(largest, threshold, miss)
-    taken = distinct.orderBy(F.xxhash64("rep"), "rep", "label").limit(sample).select("vector").collect()
-    if not taken:
+    distinct = fit.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    distinct = scratch.save(distinct.withColumn("node", F.monotonically_increasing_id()).withColumn("length", F.size("vector")), "distinct")
+    largest = distinct.groupBy("label", "length").agg(F.count(F.lit(1)).alias("rows")).agg(F.max("rows")).first()[0]
+    if not largest:
         return rows.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    x = np.array([r["vector"] for r in taken], dtype=np.float64)
-    projection = learn_rotations(x / np.linalg.norm(x, axis=1, keepdims=True), math.ceil(bits * tables / length))
+    bits, tables = table_shape(largest, threshold, miss)
+    taken: dict[int, list] = {}
+    for row in distinct.orderBy(F.xxhash64("rep"), "rep", "label", "vector").limit(sample).select("vector").collect():
+        taken.setdefault(len(row["vector"]), []).append(row["vector"])
+    learned = {}
+    for length, few in taken.items():
+        if len(few) >= length:
+            x = np.array(few, dtype=np.float64)
+            learned[length] = learn_rotations(x / np.linalg.norm(x, axis=1, keepdims=True), math.ceil(bits * tables / length))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = Coder(learned, bits, tables)
         for batch in batches:
-            x = matrix(batch.column(1))
-            if len(x):
-                keys = _substrings((x / np.linalg.norm(x, axis=1, keepdims=True)) @ projection >= 0, bits, tables)
-            else:
-                keys = np.zeros((0, tables), np.int64)
-            column = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, tables, dtype=np.int32), keys.ravel())
-            yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, "keys"])
-
-    label = distinct.schema["label"].dataType.simpleString()
-    vector = distinct.schema["vector"].dataType.simpleString()
-    coded = distinct.select("label", "vector", "rep", "n").mapInArrow(place, f"label {label}, vector {vector}, rep long, n long, keys array<long>")
+            column, keys = batch.column(0), np.zeros((batch.num_rows, tables), np.int64)
+            lengths = column.value_lengths().to_numpy()
+            for length in np.unique(lengths):
+                own = np.flatnonzero(lengths == length)
+                x = matrix(column.take(pa.array(own)))
+                keys[own] = coder(x / np.linalg.norm(x, axis=1, keepdims=True))
+            values = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, tables, dtype=np.int32), keys.ravel())
+            yield pa.RecordBatch.from_arrays([*batch.columns, values], names=[*batch.schema.names, "keys"])
+
+    label, vector = (distinct.schema[c].dataType.simpleString() for c in ("label", "vector"))
+    coded = distinct.select("vector", "label", "length", "node", "n").mapInArrow(place, f"vector {vector}, label {label}, length int, node long, n long, keys array<long>")
     coded = scratch.save(coded, "coded")
-    met = coded.select("label", "rep", F.posexplode("keys").alias("table", "value"))
-    sizes = met.groupBy("label", "table", "value").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    sizes = scratch.save(sizes.select("label", "table", "value", F.ceil(F.col("m") / part_rows).cast("int").alias("parts")), "sizes")
+    bucket = ["label", "length", "table", "value"]
+    sizes = coded.select("label", "length", F.posexplode("keys").alias("table", "value")).groupBy(*bucket).agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    # sizes stand in as many copies as there are salts, so the rows of a full bucket look them up in several tasks
+    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
+    sizes = scratch.save(sizes.select(*bucket, F.ceil(F.col("m") / part_rows).cast("int").alias("parts")), "sizes").withColumn("salt", salts)
     spread = F.transform(
         F.sequence(F.lit(0), F.col("parts") - 1),
         lambda q: F.struct(
@@ -159,29 +189,26 @@ def link_embeddings(
             F.when(q == F.col("part"), 2).when(q > F.col("part"), 0).otherwise(1).alias("side"),
         ),
     )
-    rows_at = (
-        coded.select("label", "vector", "rep", "n", F.posexplode("keys").alias("table", "value"))
-        .join(sizes, ["label", "table", "value"])
-        .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-        .withColumn("c", F.explode(spread))
-        .select(F.concat_ws("/", "label", "table", "value", "c.p", "c.q").alias("cell"), "table", "c.side", "rep", "n", "vector")
+    met = coded.select("label", "length", "vector", "node", "n", "keys", F.posexplode("keys").alias("table", "value"))
+    met = met.withColumn("earlier", F.slice("keys", F.lit(1), F.col("table"))).drop("keys").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(_SALTS)).cast("int"))
+    met = met.join(sizes, [*bucket, "salt"]).withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")).withColumn("c", F.explode(spread))
+    # JSON keeps labels apart whatever they hold
+    cell = F.to_json(F.struct(*bucket, "c.p", "c.q"))
+    dealt = met.select(cell.alias("cell"), "c.side", "node", "n", "earlier", "vector").repartition("cell").sortWithinPartitions("cell")
+    found = scratch.save(dealt.mapInArrow(_link_cells(threshold), "a long, b long, n long"), "found")
+    scratch.drop(coded)
+    counted = found.where("b is null").groupBy(F.col("a").alias("c_node")).agg(F.sum("n").alias("others"))
+    groups = components(found.where("b is not null").select("a", "b"), scratch).withColumnRenamed("node", "member")
+    named = distinct.join(groups, F.col("node") == F.col("member"), "left").withColumn("component", F.coalesce("component", "node"))
+    heads = named.groupBy(F.col("component").alias("c")).agg(F.min("rep").alias("head"))
+    whole = (
+        named.join(heads, F.col("component") == F.col("c"))
+        .join(counted, F.col("node") == F.col("c_node"), "left")
+        .select(F.col("label").alias("l"), F.col("vector").alias("v"), (F.coalesce("others", F.lit(0)) + F.col("n") - 1).cast("long").alias("links"), "head")
     )
-    found = rows_at.repartition("cell").sortWithinPartitions("cell").mapInArrow(_link_cells(threshold, projection, bits, tables), "a long, b long, n long")
-    found = scratch.save(found, "found")
-    scratch.drop(coded, sizes)
-    counted = found.where("b is null").groupBy(F.col("a").alias("c_rep")).agg(F.sum("n").alias("others"))
-    groups = components(found.where("b is not null").select("a", "b"), scratch)
-    scratch_links = (
-        distinct.join(counted, F.col("rep") == F.col("c_rep"), "left")
-        .join(groups, F.col("rep") == F.col("node"), "left")
-        .select(
-            F.col("label").alias("l"), F.col("vector").alias("v"),
-            (F.coalesce("others", F.lit(0)) + F.col("n") - 1).cast("long").alias("links"), F.coalesce("component", "rep").alias("head"),
-        )
-    )
-    whole = scratch.save(scratch_links, "whole")
-    out = rows.join(whole, (F.col("label") == F.col("l")) & (F.col("vector") == F.col("v")), "left")
+    whole = scratch.save(whole, "whole")
+    out = rows.join(whole, (F.col("label") == F.col("l")) & (F.col("vector") == F.col("v")) & F.col("id").isNotNull(), "left")
     head = F.coalesce("head", "id")
     return out.select(
-        F.col("id").alias(id_col), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), head.alias("component_id"), (F.col("id") == head).alias("kept")
+        F.col("id").alias(id_col), F.coalesce("links", F.lit(0).cast("long")).alias("n_links"), head.alias("component_id"), F.col("id").eqNullSafe(head).alias("kept")
     )

@@ -16,11 +16,10 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & ~bad & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def matrix(column: pa.Array) -> np.ndarray:
-    """A list column of equal lengths as a matrix in double precision."""
-    if len(column) == 0:
-        return np.zeros((0, 0))
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+def matrix(column: pa.Array, kind: type = np.float64) -> np.ndarray:
+    """A list column of equal lengths as a matrix, in double precision unless ``kind`` says otherwise."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(kind)
+    return flat.reshape(len(column), len(flat) // max(1, len(column)))
 
 
 def cells(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa.Table]:

@@ -26,8 +26,12 @@ def good(v, dims=24):
 
 
 def plain_links(rows):
+    return plain_links_of(rows, 24)
+
+
+def plain_links_of(rows, dims):
     ids = [r[0] for r in rows]
-    ok = [i for i, r in enumerate(rows) if good(r[1]) and r[2] is not None]
+    ok = [i for i, r in enumerate(rows) if good(r[1], dims) and r[2] is not None]
     x = np.array([rows[i][1] for i in ok], dtype=np.float64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     label = np.array([rows[i][2] for i in ok])
@@ -61,6 +65,44 @@ def test_links_against_all_pairs(spark, part_rows):
         assert (got[i].n_links, got[i].component_id) == (0, i)
 
 
+def test_lengths_labels_and_repeated_ids(spark):
+    rows = [(i, [1.0, 0.0, 0.01 * i], "a", 1) for i in range(9)]
+    rows += [(20, [0.0, 1.0], "a", 1), (21, [0.0, 1.0], "a", 1), (22, [0.1, 1.0], "a", 1), (23, [0.1, 1.0], "a/2", 1), (24, [0.1, 1.0, 0.0, 0.0], "a", 1)]
+    rows += [(30, [0.0, 0.0, 1.0], "b", 1), (30, [0.0, 0.0, -1.0], "b", 1), (31, [0.0, 0.1, -1.0], "b", 1), (None, [0.0, 0.0, 1.0], "b", 1)]
+    got = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string, n int")).collect()]
+    assert sorted(x for x in got if x[0] is not None and x[0] < 9) == [(i, 8, 0, i == 0) for i in range(9)]
+    assert sorted(x for x in got if x[0] in (20, 21, 22, 23, 24)) == [(20, 2, 20, True), (21, 2, 20, False), (22, 2, 20, False), (23, 0, 23, True), (24, 0, 24, True)]
+    assert sorted(x for x in got if x[0] in (30, 31)) == [(30, 0, 30, True), (30, 1, 30, True), (31, 1, 30, False)]
+    assert [x for x in got if x[0] is None] == [(None, 0, None, True)]
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs between 0.93 and 0.94 are the hardest; the tables are made to miss at most one in a thousand."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(2000):
+        v, u = rng.standard_normal((2, 64))
+        v /= np.linalg.norm(v)
+        u -= (u @ v) * v
+        cosine = rng.uniform(0.9301, 0.94)
+        w = cosine * v + np.sqrt(1 - cosine**2) * u / np.linalg.norm(u)
+        rows += [(2 * i, v.tolist(), 0, 1), (2 * i + 1, (3 * w).tolist(), 0, 1)]
+    got = {r.vec_id: r for r in embedding_dedup.link_embeddings(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()}
+    assert sum(got[2 * i + 1].component_id == 2 * i for i in range(2000)) >= 1995
+    assert sum(r.n_links for r in got.values()) <= 4000
+
+
+def test_one_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(6)
+    centre = rng.standard_normal(32)
+    rows = [(i, (centre + rng.choice([0.05, 0.25]) * rng.standard_normal(32)).tolist(), 7, 1) for i in range(1500)]
+    n_links, component = plain_links_of(rows, 32)
+    got = {r.vec_id: r for r in embedding_dedup.link_embeddings(spark.createDataFrame(rows, SCHEMA).repartition(4), part_rows=128).collect()}
+    assert sum(got[i].n_links for i in n_links) >= 0.9995 * sum(n_links.values())
+    assert all(got[i].n_links <= n_links[i] for i in n_links)
+    assert all(got[i].component_id == component[i] for i in component)
+
+
 def test_table_shape_misses_little():
     for largest in (10, 5000, 10**8):
         bits, tables = embedding_dedup.table_shape(largest, 0.93, 0.001)
