@@ -7,14 +7,19 @@ in, learns to name the parts.  Every row of the table goes to its most probable
 
 Search: a query goes to its most probable parts, as many as reached ``recall`` for held-back sample queries against
 brute force; there all rows are reranked by inner product in double precision.  A part is cut into blocks of rows, so
-no task holds more than a block, and a block passes on only its ``k`` best rows per query.
+no task holds more than a block, through which the queries stream; a block passes on only its ``k`` best rows per query.
+Parts have ``part_rows`` rows: with fewer, what the parts pass on outgrows what their search saves.
 
-Bounds: ``sample`` vectors (those with the smallest hashes) fit the index; all rows are indexed.
+Only vectors of one length have an inner product, so every length is an index of its own.  Lengths with fewer than
+``share`` of all rows (or with less than two parts' worth of rows) have one part, which is searched whole.
 
-Edge cases: vectors that are null, zero or hold null or non-finite components, rows with a null id and vectors whose
-length is not the most frequent one take no part; of equal vectors the ``k + 1`` smallest ids are searched, as no more
-can be among the nearest; fewer candidates than ``k`` are all returned, since a small table has one part; repeated
-queries with one id are answered once per distinct vector; an empty table gives an empty result.
+Bounds: at most ``sample`` vectors (those with the smallest hashes) fit the index, 64 for each part or more, so there
+are at most ``sample / 64`` parts (1,024) and blocks multiply beyond that; all rows are indexed.
+
+Edge cases: vectors that are null, zero or hold null or non-finite components and rows with a null id take no part; of
+equal vectors the ``k + 1`` smallest ids are searched, as no more can be among the nearest; fewer candidates than ``k``
+are all returned, since a small table has one part; rows equal in id and vector count as one row; of rows with one id and
+different vectors each is a row of its own, and each query among them is answered; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gatehouse.llm._scratch import Scratch
-from gatehouse.llm.vectors import cells, common_length, matrix, usable
+from gatehouse.llm.vectors import matrix, usable
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -132,78 +137,122 @@ def learn_index(x: np.ndarray, parts: int, k: int, recall: float, seed: int = 0)
     return router, parts
 
 
+def _best(x: np.ndarray, ids: np.ndarray, nodes: np.ndarray, asked: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """``(query, row, score)`` of the ``k`` best rows of each query, ties to the smaller id; rows are sorted by id."""
+    s = asked @ x.T
+    s[own[:, None] == nodes[None, :]] = -np.inf
+    keep = min(k, s.shape[1])
+    # all ties at the k-th place stay in until the ids decide
+    floor = -np.partition(-s, keep - 1, axis=1)[:, keep - 1]
+    i, j = np.nonzero((s >= floor[:, None]) & (s > -np.inf))
+    order = np.lexsort((ids[j], -s[i, j], i))
+    i, j = i[order], j[order]
+    place = np.arange(len(i)) - np.searchsorted(i, np.arange(len(own)))[i]
+    i, j = i[place < k], j[place < k]
+    return i, j, s[i, j]
+
+
 def _search(k: int):
+    """Batches sorted by cell, a cell's rows before its queries: only the rows are held."""
+
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in cells(batches):
-            asks = cell.column("asks").to_numpy(zero_copy_only=False).astype(bool)
-            ids, x = cell.column("id").to_numpy(), matrix(cell.column("vector").combine_chunks())
-            rows = np.flatnonzero(~asks)
-            rows = rows[np.argsort(ids[rows], kind="stable")]  # so that a stable sort breaks ties by id
-            for at in range(0, int(asks.sum()), 512) if len(rows) else []:
-                own = np.flatnonzero(asks)[at : at + 512]
-                s = x[own] @ x[rows].T
-                s[ids[own][:, None] == ids[rows][None, :]] = -np.inf
-                keep = min(k, s.shape[1])
-                # all ties at the k-th place stay in until the ids decide
-                floor = -np.partition(-s, keep - 1, axis=1)[:, keep - 1]
-                i, j = np.nonzero((s >= floor[:, None]) & (s > -np.inf))
-                order = np.lexsort((ids[rows][j], -s[i, j], i))
-                i, j = i[order], j[order]
-                first = np.searchsorted(i, np.arange(len(own)))
-                place = np.arange(len(i)) - first[i]
-                i, j = i[place < k], j[place < k]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[own][i]), pa.array(ids[rows][j]), pa.array(s[i, j])], names=["query_id", "vec_id", "score"]
-                )
+        cell, held, ready = None, [], None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            names = np.asarray(batch.column(0).to_pylist(), dtype=object)
+            asks = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            cuts = np.flatnonzero((names[1:] != names[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(names)], strict=True):
+                if names[a] != cell:
+                    cell, held, ready = names[a], [], None
+                if not asks[a]:
+                    held.append(batch.slice(a, b - a))
+                    continue
+                if not held and ready is None:
+                    continue
+                if ready is None:
+                    rows = pa.Table.from_batches(held).combine_chunks()
+                    ids = rows.column("id").to_numpy()
+                    order = np.argsort(ids, kind="stable")
+                    ready = matrix(rows.column("vector").combine_chunks())[order], ids[order], rows.column("node").to_numpy()[order]
+                    held = []
+                for at in range(a, b, 256):
+                    asked = batch.slice(at, min(256, b - at))
+                    own, query = asked.column(2).to_numpy(), asked.column(3).to_numpy()
+                    i, j, score = _best(*ready, matrix(asked.column(4)), own, k)
+                    columns = [own[i], query[i], ready[1][j], score]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["own", "query_id", "vec_id", "score"])
 
     return search
 
 
+def _plan(base: DataFrame, k: int, recall: float, sample: int, part_rows: int, share: float) -> tuple[dict[int, tuple[Router, int, int]], int]:
+    """Router, number of parts to see and rows for each large length, and the rows of the largest of the other lengths."""
+    sizes = base.groupBy(F.size("vector").alias("length")).agg(F.count(F.lit(1)).alias("rows"))
+    total = sizes.agg(F.sum("rows")).first()[0] or 0
+    least = max(2 * part_rows, share * total)
+    # at most 1 / share lengths are large
+    large = {r["length"]: r["rows"] for r in sizes.where(F.col("rows") >= least).collect()}
+    rest = sizes.where(F.col("rows") < least).agg(F.max("rows")).first()[0] or 0
+    found = {}
+    for length, rows in sorted(large.items()):
+        parts = min(rows // part_rows, sample // 64)
+        few = max(4096, 64 * parts)
+        taken = base.where(F.size("vector") == length).orderBy(F.xxhash64("id"), "id").limit(min(few, sample)).select("vector").collect()
+        parts = min(parts, len(taken) // 64)
+        if parts > 1:
+            router, probes = learn_index(np.array([r["vector"] for r in taken], dtype=np.float64), parts, k, recall)
+            found[length] = router, probes, -(-rows // parts)
+        else:
+            rest = max(rest, rows)
+    return found, rest
+
+
 def nearest(
-    vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.94, sample: int = 4096, part_rows: int = 4000,
-    block_rows: int = 20_000, max_parts: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding",
+    vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.94, sample: int = 65_536, part_rows: int = 4000,
+    block_rows: int = 20_000, share: float = 0.01, id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
-    """``query_id, rank, vec_id, score``: the nearest rows of each query row, its own id aside."""
+    """``query_id, rank, vec_id, score``: the nearest rows of each query row, itself aside."""
     scratch = Scratch(vectors.sparkSession, "ann")
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    rows = rows.where(usable(F.col("vector")) & F.col("id").isNotNull())
-    length = common_length(rows, "vector")
-    rows = scratch.save(rows.where(F.size("vector") == length), "rows")
+    rows = rows.where(usable(F.col("vector")) & F.col("id").isNotNull()).groupBy("id", "vector").agg(F.max("asks").alias("asks"))
+    rows = scratch.save(rows.withColumn("node", F.monotonically_increasing_id()), "rows")
     nth = F.row_number().over(W.partitionBy("vector").orderBy("id"))
-    base = scratch.save(rows.withColumn("nth", nth).where(F.col("nth") <= k + 1).drop("nth", "asks").distinct(), "base")
-    total = base.count()
-    parts = max(1, min(max_parts, total // part_rows, sample // 64))
-    taken = base.orderBy(F.xxhash64("id"), "id").limit(sample).select("vector").collect()
-    schema = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("rank", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
-    if not taken:
-        return vectors.sparkSession.createDataFrame([], schema)
-    router, probes = learn_index(np.array([r["vector"] for r in taken], dtype=np.float64), parts, k, recall)
-    blocks = max(1, -(-total // (parts * block_rows)))
-    names = ["cell", "id", "vector", "asks"]
-
-    def route(times: int, asks: bool):
+    base = scratch.save(rows.withColumn("nth", nth).where(F.col("nth") <= k + 1).select("node", "id", "vector"), "base")
+    plan, rest = _plan(base, k, recall, sample, part_rows, share)
+    blocks = {length: max(1, -(-rows // block_rows)) for length, (_, _, rows) in plan.items()}
+    rest_blocks = max(1, -(-rest // block_rows))
+    names = ["cell", "asks", "node", "id", "vector"]
+
+    def route(asks: bool):
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                scores = router.scores(matrix(batch.column(1)))
-                best = np.argsort(-scores, axis=1)[:, :times].astype(np.int64)
-                if asks:  # to every block of each part
-                    cell = (best[:, :, None] * blocks + np.arange(blocks)).reshape(len(best), -1)
-                else:  # to one block, by id
-                    cell = best * blocks + (batch.column(0).to_numpy() % blocks)[:, None]
-                take = pa.array(np.repeat(np.arange(len(cell)), cell.shape[1]))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell.ravel()), batch.column(0).take(take), batch.column(1).take(take), pa.array(np.full(cell.size, asks))], names=names
-                )
+                lengths = batch.column(2).value_lengths().to_numpy()
+                for length in np.unique(lengths).tolist():
+                    own = batch.take(pa.array(np.flatnonzero(lengths == length)))
+                    node = own.column(0).to_numpy()
+                    router, probes, _ = plan.get(length, (None, 1, 0))
+                    n = blocks.get(length, rest_blocks)
+                    best = np.zeros((len(node), 1), np.int64)
+                    if router is not None:
+                        scores = router.scores(matrix(own.column(2)))
+                        best = np.argsort(-scores, axis=1, kind="stable")[:, : probes if asks else 1].astype(np.int64)
+                    if asks:  # to every block of each part
+                        cell = (best[:, :, None] * n + np.arange(n)).reshape(len(node), -1)
+                    else:  # to one block
+                        cell = best * n + (node % n)[:, None]
+                    take = pa.array(np.repeat(np.arange(len(cell)), cell.shape[1]))
+                    label = pa.array([f"{length}/{c}" for c in cell.ravel().tolist()])
+                    columns = [label, pa.array(np.full(cell.size, asks)), *(own.column(c).take(take) for c in range(3))]
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
         return rows
 
     vector = rows.schema["vector"].dataType.simpleString()
-    shape = f"cell long, id long, vector {vector}, asks boolean"
-    asked = rows.where("asks").select("id", "vector").distinct().mapInArrow(route(probes, True), shape)
-    indexed = base.select("id", "vector").mapInArrow(route(1, False), shape)
-    dealt = asked.union(indexed).repartition("cell").sortWithinPartitions("cell")
-    found = dealt.mapInArrow(_search(k), "query_id long, vec_id long, score double").distinct()
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    shape = f"cell string, asks boolean, node long, id long, vector {vector}"
+    asked = rows.where("asks").select("node", "id", "vector").mapInArrow(route(True), shape)
+    dealt = asked.union(base.mapInArrow(route(False), shape)).repartition("cell").sortWithinPartitions("cell", "asks")
+    found = dealt.mapInArrow(_search(k), "own long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(W.partitionBy("own").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

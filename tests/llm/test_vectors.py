@@ -111,8 +111,8 @@ def test_table_shape_misses_little():
         assert largest / 2**bits <= 64
 
 
-def plain_nearest(rows, k):
-    ok = [r for r in rows if good(r[1])]
+def plain_nearest(rows, k, dims=24):
+    ok = [r for r in rows if good(r[1], dims)]
     ids, x = np.array([r[0] for r in ok]), np.array([r[1] for r in ok], dtype=np.float64)
     out = {}
     for i, v in zip(ids, x, strict=True):
@@ -137,7 +137,9 @@ def test_neighbours_of_one_part_are_exact(spark):
 
 
 def test_neighbours_over_parts_reach_the_recall(spark):
-    rows, vectors = table(spark, seed=3, n=2000)
+    rows, _ = table(spark, seed=3, n=2000)
+    rows = rows[:2000]
+    vectors = spark.createDataFrame(rows, SCHEMA).repartition(3)
     want = plain_nearest(rows, 20)
     found = neighbours.nearest(vectors, F.col("vec_id") % 20 == 0, part_rows=200, block_rows=90, sample=800).collect()
     got = {(r.query_id, r.vec_id) for r in found}
@@ -146,6 +148,38 @@ def test_neighbours_over_parts_reach_the_recall(spark):
     assert len(found) == sum(len(v) for v in want.values())
 
 
+def test_neighbours_by_length_and_with_repeated_ids(spark):
+    rows, _ = table(spark, seed=4, n=1200)
+    rng = np.random.default_rng(8)
+    rows = [r for r in rows if r[0] < 600] + [(5000 + i, rng.standard_normal(7).tolist(), 1, 1) for i in range(900)]
+    rows += [(9000, [1.0, 2.0], 1, 1), (9001, [2.0, 1.0], 1, 1), (9020, [1.0, 0.0], 1, 1), (9020, [0.0, 1.0], 1, 1), (9020, [0.0, 1.0], 1, 1), (9040, [1.0], 1, 1)]
+    vectors = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    found = neighbours.nearest(vectors, F.col("vec_id") % 20 == 0, part_rows=200, block_rows=90).collect()
+    got = {(r.query_id, r.vec_id) for r in found}
+    for dims in (24, 7):
+        hits = [(q, v) in got for q, near in plain_nearest(rows, 20, dims).items() for v, _ in near]
+        assert len(hits) > 500 and np.mean(hits) >= 0.9
+    tiny = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found if r.query_id >= 9000)
+    assert [x for x in tiny if x[0] == 9000] == [(9000, 1, 9001, 4.0), (9000, 2, 9020, 2.0), (9000, 3, 9020, 1.0)]
+    # both vectors of 9020 ask, and each is the other's candidate
+    assert [x[2:] for x in tiny if x[0] == 9020] == [(9000, 2.0), (9001, 2.0), (9000, 1.0), (9001, 1.0), (9020, 0.0), (9020, 0.0)]
+    assert not [x for x in tiny if x[0] == 9040]
+
+
+def test_query_of_neighbours_against_brute_force(spark):
+    """The query on its table, and the same search over parts, which that table is too small for."""
+    sf = "/root/testdata/sf0.1"
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding, 0, 1) for r in vectors.collect()]
+    want = plain_nearest(rows, 20, 64)
+    found = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in queries.op10_neighbours(spark, sf).collect()}
+    assert {q: [found[q, n][0] for n in range(1, 21)] for q in want} == {q: [v for v, _ in near] for q, near in want.items()}
+    parted = neighbours.nearest(vectors, F.col("vec_id") % 20 == 0, part_rows=250).collect()
+    got = {(r.query_id, r.vec_id) for r in parted}
+    assert len(parted) == 20 * len(want)
+    assert np.mean([(q, v) in got for q, near in want.items() for v, _ in near]) >= 0.9
+
+
 def test_empty_and_tiny_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert embedding_dedup.link_embeddings(none).collect() == []
