@@ -1,13 +1,13 @@
 """Scratch tables in the folder that driver and executors share.
 
 Lineage is cut by writing a Parquet table below ``spark.checkpoint.dir`` and reading it again, so a lost
-executor costs no more than the tasks since the last table.  Only where that setting is absent (tests on one
-machine) a local temporary folder stands in for it.
+executor costs no more than the tasks since the last table.  Only where that setting is absent and the master is a
+single process (tests on one machine) a local temporary folder stands in for it; a cluster without it is an error.
 """
 
 from __future__ import annotations
 
-import atexit
+import re
 import tempfile
 import uuid
 
@@ -18,10 +18,12 @@ _LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names, or a temporary one of this process if it names none."""
+    """The shared folder the cluster names, or a temporary one of this process if it names none and there is no cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not _LOCAL:
         _LOCAL.append("file://" + tempfile.mkdtemp(prefix="gatehouse-"))
     return _LOCAL[0]
@@ -30,14 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Names tables for one run of an operator; ``drop`` removes those that nothing reads any more.
 
-    Tables that the returned DataFrame still reads stay until the session's process ends.
+    Tables that the returned DataFrame still reads stay until the driver's JVM ends, which deletes them as it shuts down.
     """
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/gatehouse-{what}-{uuid.uuid4().hex[:12]}"
         self._n = 0
-        atexit.register(self.close)
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        # the file system itself deletes what is registered with it, whether or not a session is left then
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
 
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write ``df`` and return it as read from the table."""
@@ -67,10 +71,7 @@ class Scratch:
         self.spark._jvm.System.gc()
 
     def close(self) -> None:
-        try:
-            self._delete(self.root)
-        except Exception:  # noqa: BLE001 - the session may be gone already
-            return
+        self._delete(self.root)
 
 
 def small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
@@ -81,3 +82,27 @@ def small(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
 def bits(col: Column) -> Column:
     """A 52-bit non-negative integer from the head of a hexadecimal digest column."""
     return F.conv(F.substring(col, 1, 13), 16, 10).cast("long")
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits that name a row by id and text, the same on every reading of the table; only equal rows share it.
+
+    The id's length goes first, so no id can take over a piece of the text.
+    """
+    label = doc_id.cast("string")
+    named = F.coalesce(F.concat(F.length(label).cast("string"), F.lit(":"), label), F.lit("-"))
+    return F.unhex(F.md5(F.concat(named, F.lit("|"), F.coalesce(text, F.lit("")))))
+
+
+def meet(rows: DataFrame, keys: DataFrame, on: list[tuple[str, str]], spread: str, how: str = "inner", salts: int = 8) -> DataFrame:
+    """Join ``rows`` with the distinct ``keys`` that are found for them, over ``on`` (column of rows, column of keys).
+
+    Every key stands in ``salts`` copies and rows choose one by ``spread``, so the rows of a hot key meet it in as many tasks;
+    both sides are shuffled plainly, so adaptive execution can split further.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    copies = keys.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    match = F.col("_salt") == F.col("_copy")
+    for left, right in on:
+        match = match & (F.col(left) == F.col(right))
+    return salted.join(copies, match, how).drop("_salt", "_copy")

@@ -13,7 +13,8 @@ so every repeated run is guaranteed to share a fingerprint:
 2. fingerprints that occur once are dropped by a count with map-side combine;
 3. the positions that are left are extended both ways: each window that selected the fingerprint is named by the
    digest of all its lines.  The first place of each window is kept with a ``min`` (map-side combine), and every
-   other place is a later repeat.  No pairs are formed, so a passage in a million documents costs a million rows.
+   other place is a later repeat.  No pairs are formed, so a passage in a million documents costs a million rows, and
+   those look up its first place in several tasks.
 
 Line hashes have 64 bits and only select; windows are compared by 128 bits.
 
@@ -36,7 +37,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatehouse.llm._scratch import Scratch
+from gatehouse.llm._scratch import Scratch, meet, row_key
 
 _ADDED = ("kept_text", "n_lines", "n_deleted")
 #: Characters that make a line blank, and the pattern of a line that is not.
@@ -84,7 +85,7 @@ def delete_repeated_runs(docs: DataFrame, run: int = 3, id_col: str = "doc_id",
     inner = {c: f"d{i}" for i, c in enumerate(columns)}
     doc_id, text = F.col(inner[id_col]), F.col(inner[text_col])
     rows = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in inner.items()])
-    rows = rows.withColumn("key", F.unhex(F.md5(F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(text, F.lit(""))))))
+    rows = rows.withColumn("key", row_key(doc_id, text))
 
     numbered = rows.where(text.isNotNull()).select(doc_id.alias("id"), "key", F.filter(_lines(text), lambda x: x.rlike(_FILLED)).alias("lines"))
     words = (lambda x: [F.regexp_count(x, F.lit(_WORD)).alias("words")]) if passage_words is not None else (lambda x: [])
@@ -96,11 +97,11 @@ def delete_repeated_runs(docs: DataFrame, run: int = 3, id_col: str = "doc_id",
     # fingerprints with more than one position
     spot = F.struct("id", "key", "place")
     shared = windows.groupBy(F.col("print").alias("p")).agg(F.min(spot).alias("one"), F.max(spot).alias("other")).where("one <> other").select("p")
-    met = windows.join(shared, F.col("print") == F.col("p"), "left_semi")
+    met = meet(windows, shared, [("print", "p")], "key").drop("p")
     # the windows that selected them, by all their lines
     here = F.struct("id", "key", "at")
     first = met.groupBy(F.col("name").alias("n")).agg(F.min(here).alias("one"), F.max(here).alias("other")).where("one <> other").select("n", "one")
-    later = met.join(first, F.col("name") == F.col("n")).where(here != F.col("one")).select("key", F.struct("at", "size").alias("at"))
+    later = meet(met, first, [("name", "n")], "key").where(here != F.col("one")).select("key", F.struct("at", "size").alias("at"))
     gone = scratch.save(later.groupBy(F.col("key").alias("k")).agg(F.collect_set("at").alias("ats")), "gone")
     scratch.drop(windows)
 

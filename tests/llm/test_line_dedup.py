@@ -89,3 +89,20 @@ def test_pipeline_drops_a_passage_of_one_or_two_lines(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
     want = [texts[0], "own 1\nend 1", "", texts[3], "", texts[5], texts[6]]
     assert got == {i: (t, len(t)) for i, t in enumerate(want)}
+
+
+def test_ids_that_continue_in_the_text_do_not_clash(spark):
+    block = "\n".join(f"l{i}" for i in range(5))
+    docs = spark.createDataFrame([("1", "h|" + "\n" + block), ("1|h", "\n" + block)], "doc_id string, text string")
+    got = {r.doc_id: r.kept_text for r in line_dedup.delete_repeated_runs(docs).collect()}
+    assert got == {"1": "h|\n" + block, "1|h": ""}
+
+
+def test_a_very_long_text_and_a_hot_passage(spark):
+    rng = random.Random(5)
+    block = "\n".join(f"common {i}" for i in range(4))
+    long = "\n".join(f"line {rng.randrange(10**9)}" for _ in range(60_000))
+    rows = [(0, long), (1, "head\n" + long + "\ntail")] + [(i, f"own {i}\n{block}") for i in range(2, 600)]
+    got = {r.doc_id: (r.kept_text, r.n_lines, r.n_deleted) for r in line_dedup.delete_repeated_runs(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert got[0] == (long, 60_000, 0) and got[1] == ("head\ntail", 60_002, 60_000)
+    assert got[2] == (rows[2][1], 5, 0) and all(got[i] == (f"own {i}", 5, 4) for i in range(3, 600))
