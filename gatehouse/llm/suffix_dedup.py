@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gatehouse.llm._scratch import Scratch
+from gatehouse.llm._scratch import Scratch, row_key
 
 _ADDED = ("kept", "n_bytes", "n_removed", "spans")
 _FLUSH = 200_000
@@ -200,9 +200,7 @@ def remove_repeats(
     inner = {c: f"d{i}" for i, c in enumerate(columns)}
     text = F.col(inner[text_col])
     rows = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in inner.items()])
-    # a key of content, the same on every reading of the table; equal rows share it
-    label = F.coalesce(F.col(inner[id_col]).cast("string"), F.lit(""))
-    rows = rows.withColumn("key", F.unhex(F.md5(F.concat_ws("|", label, F.coalesce(text, F.lit(""))))))
+    rows = rows.withColumn("key", row_key(F.col(inner[id_col]), text))
     texts = rows.select("key", text.alias("text"))
 
     found = scratch.save(texts.mapInArrow(_anchor_rows(width, gram), "key binary, place long, first long, last long, gram long, stretch binary"), "anchors")
@@ -238,7 +236,7 @@ def remove_repeats(
     repeats.append(scratch.save(hit.select("key", "first", (F.col("first") + width).alias("end")), "single"))
     scratch.drop(windows)
 
-    runs = repeats[0].union(repeats[1]).union(repeats[2]).groupBy(F.col("key").alias("k")).agg(F.collect_list(F.struct("first", "end")).alias("runs"))
+    runs = repeats[0].union(repeats[1]).union(repeats[2]).groupBy(F.col("key").alias("k")).agg(F.collect_set(F.struct("first", "end")).alias("runs"))
     joined = rows.join(runs, F.col("key") == F.col("k"), "left").select(*inner.values(), "runs")
     at = columns.index(text_col)
     added = T._parse_datatype_string("kept binary, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>").fields
@@ -268,7 +266,7 @@ def remove_repeats(
 
 def _read_digits(texts: DataFrame, todo: DataFrame, scratch: Scratch, rows, schema: str, name: str) -> DataFrame:
     """Texts meet their own runs by key; equal rows may meet them twice, which the callers' comparisons bear."""
-    own = todo.groupBy(F.col("key").alias("k")).agg(F.collect_list("run").alias("todo"))
+    own = todo.groupBy(F.col("key").alias("k")).agg(F.collect_set("run").alias("todo"))
     own = scratch.save(own, f"{name}-todo")
     met = texts.join(own, F.col("key") == F.col("k")).select("key", "text", "todo")
     out = scratch.save(met.mapInArrow(rows, schema), name)

@@ -1,9 +1,10 @@
+import hashlib
 import random
 from collections import Counter
 
 import numpy as np
 
-from gatehouse.llm import suffix_dedup
+from gatehouse.llm import queries, suffix_dedup
 
 
 def plain(texts, width):
@@ -72,3 +73,24 @@ def test_equal_rows_and_empty_table(spark):
     got = sorted((r.doc_id, r.n_removed, bytes(r.kept)) for r in suffix_dedup.remove_repeats(docs, 40, 8, 7).collect())
     assert got == [(1, 90, b""), (1, 90, b""), (2, 0, b"short")]
     assert suffix_dedup.remove_repeats(docs.limit(0), 40, 8, 7).collect() == []
+
+
+def test_ids_that_continue_in_the_text_do_not_clash(spark):
+    text = "".join(random.Random(3).choice("abcdef") for _ in range(500))
+    rows = [("1", "a|" + text), ("1|a", text), ("2", text[:450]), (None, text[:30]), ("", text[:30])]
+    got = {r.doc_id: (r.n_bytes, r.n_removed) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"1": (502, 500), "1|a": (500, 500), "2": (450, 450), None: (30, 0), "": (30, 0)}
+
+
+def test_query_against_all_windows(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    want = plain([r.text for r in docs], 400)
+    got = queries.op5_suffix_dedup(spark, sf)
+    assert got.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    rows = {r.doc_id: r for r in got.collect()}
+    assert len(rows) == len(docs) and any(w[0] for w in want)
+    for doc, (removed, spans, kept) in zip(docs, want, strict=True):
+        r, n = rows[doc.doc_id], len((doc.text or "").encode())
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (n, removed, spans, hashlib.sha256(kept).hexdigest())
+        assert r.n_kept == len(kept) and r.kept_text == kept.decode(errors="replace")
