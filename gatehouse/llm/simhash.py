@@ -46,14 +46,13 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gatehouse.llm._scratch import Scratch
+from gatehouse.llm._scratch import Scratch, meet
 from gatehouse.llm.components import components
 from gatehouse.llm.vectors import cells
 
@@ -61,6 +60,7 @@ SEED = 42
 SHINGLE = 3
 _CHUNK = 1 << 16  # shingle hashes held at a time
 _PER_BAND = 6  # min-wise hashes that agree in a band
+_TASK_ROWS = 20_000  # fingerprints that a task sorts out
 
 
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
@@ -170,14 +170,14 @@ def _forest(left: list[int], right: list[int] | None, radius: int) -> list[tuple
 
 
 def _cell_links(radius: int):
-    def links(cell: pd.DataFrame) -> pd.DataFrame:
-        own = np.unique(cell.loc[cell.side != 1, "fp"].to_numpy(np.int64).view(np.uint64)).tolist()
-        other = None
-        if (cell.side == 1).any():
-            other = np.unique(cell.loc[cell.side == 1, "fp"].to_numpy(np.int64).view(np.uint64)).tolist()
-        edges = _forest(own, other, radius)
-        pairs = np.array(edges, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in cells(batches):
+            side = cell.column("side").to_numpy()
+            values = cell.column("fp").to_numpy().view(np.uint64)
+            other = np.unique(values[side == 1]).tolist() if (side == 1).any() else None
+            edges = _forest(np.unique(values[side != 1]).tolist(), other, radius)
+            pairs = np.array(edges, dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
     return links
 
@@ -193,8 +193,8 @@ def _spread() -> Column:
     )
 
 
-def _shards(prints: DataFrame, radius: int, shard_rows: int, scratch: Scratch) -> DataFrame:
-    """``(cell columns, fp, side)``: each fingerprint in every cell where a partner could be."""
+def _shards(prints: DataFrame, radius: int, shard_rows: int, scratch: Scratch) -> tuple[DataFrame, int]:
+    """``(cell, side, fp)``, each fingerprint in every cell where a partner could be; and how many such rows there are."""
     blocks = radius + 2
     edges = [64 * i // blocks for i in range(blocks + 1)]
     keys = []
@@ -205,17 +205,21 @@ def _shards(prints: DataFrame, radius: int, shard_rows: int, scratch: Scratch) -
     rows = prints.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.kind", "k.value")
     sizes = rows.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sizes = scratch.save(sizes.withColumn("parts", F.ceil(F.col("n") / shard_rows).cast("int")), "sizes")
+    total = sizes.agg(F.sum(F.col("n") * F.col("parts"))).first()[0] or 0
     # fingerprints alone in their shard have no partner there
-    rows = rows.join(sizes.select("kind", "value", "parts"), ["kind", "value"])
-    part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-    rows = rows.withColumn("part", part)
-    return rows.select("kind", "value", "fp", F.explode(_spread()).alias("c")).select("kind", "value", "c.p", "c.q", "c.side", "fp")
+    sizes = sizes.select(F.col("kind").alias("k"), F.col("value").alias("v"), "parts")
+    rows = meet(rows, sizes, [("kind", "k"), ("value", "v")], "fp")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int"))
+    rows = rows.select("kind", "value", "fp", F.explode(_spread()).alias("c"))
+    return rows.select(F.concat_ws("/", "kind", "value", "c.p", "c.q").alias("cell"), F.col("c.side").alias("side"), "fp"), total
 
 
 def link_fingerprints(prints: DataFrame, scratch: Scratch, radius: int = 2, shard_rows: int = 512) -> DataFrame:
     """Edges ``(a, b)`` over distinct ``fp`` values that span the same components as all links do."""
-    cells = _shards(prints, radius, shard_rows, scratch)
-    found = cells.groupBy("kind", "value", "p", "q").applyInPandas(_cell_links(radius), "a long, b long")
+    dealt, total = _shards(prints, radius, shard_rows, scratch)
+    # the rows are few bytes and much work, so their number decides on the tasks, not their size
+    tasks = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / _TASK_ROWS))
+    found = dealt.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(_cell_links(radius), "a long, b long")
     return scratch.save(found.distinct(), "links")
 
 
