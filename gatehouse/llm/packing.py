@@ -7,8 +7,9 @@ of equal packs, so the work depends on the bins alone.  Every placement is an in
 pieces find their sequence and offset by rank.
 
 A piece's rank among those of its length is its local rank in its partition plus the pieces of that length in
-earlier partitions, so no length is ever gathered in one task and the ids move only if the offsets table is too
-large to broadcast.
+earlier partitions, so no length is ever gathered in one task.  Those offsets are one map of at most ``length`` entries for
+each partition; up to ``broadcast_parts`` of them (some 130 MB) are broadcast and the ids stay where they are, more are
+merge-joined by partition and the ids move once.
 
 Edge cases: a null text counts as empty, an empty text is the end id alone; very long texts become many pieces;
 repeated rows are packed as often as they occur; an empty table gives an empty result; ``start`` and ``offset``
@@ -28,7 +29,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gatehouse.llm._scratch import Scratch, small
+from gatehouse.llm._scratch import Scratch
 from gatehouse.llm.tokens import encoder
 
 #: Tokens held before a batch of pieces is passed on.
@@ -113,7 +114,9 @@ def tokenize(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int =
     return rows.mapInArrow(pieces, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", broadcast_parts: int = 4096
+) -> DataFrame:
     """One row per piece: ``id_col, start, length, doc_tokens, ids, sequence_id, offset``."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "pack")
@@ -123,11 +126,12 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, end_id: int = 1, i
     counts = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     placed = spark.sparkContext.broadcast(_placements(pack_histogram(counts, length), length))
     before = F.sum("n").over(W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1))
-    bases = cells.select(F.col("part").alias("b_part"), F.col("length").alias("b_length"), F.coalesce(before, F.lit(0)).alias("base"))
-    bases = scratch.save(bases, "bases")
+    bases = cells.select("part", "length", F.coalesce(before, F.lit(0)).alias("base")).groupBy(F.col("part").alias("b_part"))
+    bases = scratch.save(bases.agg(F.map_from_entries(F.collect_list(F.struct("length", "base"))).alias("bases")), "bases")
     scratch.drop(cells)
-    ranked = pieces.join(small(bases, 400_000), (F.col("part") == F.col("b_part")) & (F.col("length") == F.col("b_length")))
-    ranked = ranked.select("id", "start", "length", "doc_tokens", "ids", (F.col("base") + F.col("local")).alias("rank"))
+    near = F.broadcast(bases) if bases.limit(broadcast_parts + 1).count() <= broadcast_parts else bases.hint("merge")
+    ranked = pieces.join(near, F.col("part") == F.col("b_part"))
+    ranked = ranked.select("id", "start", "length", "doc_tokens", "ids", (F.element_at("bases", F.col("length")) + F.col("local")).alias("rank"))
     schema = T.StructType([*ranked.schema.fields[:-1], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,29 @@ def test_encoder_equals_the_plain_library():
         assert list(tokens.encoder(PATH)(text)) == plain.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_equals_the_plain_library_on_every_code_point():
+    """Each code point below U+20000 alone, within a word, between spaces and beside a digit."""
+    plain, fast = Tokenizer.from_file(PATH), tokens.encoder(PATH)
+    points = [c for c in map(chr, range(0x20000)) if not 0xD800 <= ord(c) < 0xE000]
+    for at in range(0, len(points), 4096):
+        texts = [t for c in points[at : at + 4096] for t in (c, f"a{c}b {c} 1{c}{c}.")]
+        for text, want in zip(texts, plain.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert list(fast(text)) == want.ids, text
+
+
+def test_offsets_joined_instead_of_broadcast(spark):
+    rng = random.Random(2)
+    rows = [(i, "word " * rng.randrange(1, 90)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    here, there = ({tuple(r) for r in packing.pack(docs, PATH, length=64, broadcast_parts=n).drop("ids").collect()} for n in (4096, 0))
+    spans = {(r[4], r[5], r[5] + r[2]) for r in there}
+    assert len(here) == len(there) == len(spans)
+    assert {(r[0], r[1], r[2], r[3]) for r in here} == {(r[0], r[1], r[2], r[3]) for r in there}
+    for sequence in {s for s, _, _ in spans}:
+        ends = sorted((a, b) for s, a, b in spans if s == sequence)
+        assert ends[0][0] == 0 and all(x[1] == y[0] for x, y in zip(ends, ends[1:])) and ends[-1][1] <= 64
+
+
 def test_histogram_packs_every_piece_once():
     rng = random.Random(5)
     for length in (16, 100, 2048):
