@@ -32,3 +32,15 @@ def components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -
         if not changed:
             scratch.drop(both)
             return labels.select("node", F.col("label").alias("component"))
+
+
+def chained(edges: DataFrame, leaf: str = "a", head: str = "b") -> DataFrame:
+    """Edges ``(a, b)`` that join what ``edges`` join, of which every leaf has few: one to a leaf's first head, and a chain of its heads.
+
+    The leaves of one group share their heads, so their chains are the same few edges, and about one edge a leaf remains.
+    """
+    heads = F.sort_array(F.collect_set(head))
+    own = edges.where(F.col(leaf) != F.col(head)).groupBy(F.col(leaf).alias("leaf")).agg(heads.alias("heads"))
+    before = lambda i: F.when(i == 0, F.col("leaf")).otherwise(F.get("heads", i - 1))
+    links = F.transform(F.sequence(F.lit(0), F.size("heads") - 1), lambda i: F.struct(before(i).alias("a"), F.get("heads", i).alias("b")))
+    return own.select(F.explode(links).alias("e")).select("e.a", "e.b").distinct()

@@ -53,7 +53,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gatehouse.llm._scratch import Scratch, meet
-from gatehouse.llm.components import components
+from gatehouse.llm.components import chained, components
 from gatehouse.llm.vectors import cells
 
 SEED = 42
@@ -264,13 +264,13 @@ def with_signatures(docs: DataFrame, columns: list[tuple[Column, str]], text: Co
 
 
 def _proposals(first: DataFrame, scratch: Scratch) -> DataFrame:
-    """Edges ``(a, b)`` of nodes that share a band's key: a star for each key."""
+    """Edges ``(a, b)`` of nodes that share a band's key: a star for each key, from leaves to head, so few to a leaf."""
     rows = first.select("node", F.posexplode("bands").alias("kind", "value"))
-    # bands take their heads by four orders, so that one group is not tied to one head
-    order = F.xxhash64("node", F.pmod("kind", F.lit(4)))
+    # bands take their heads by two orders, so that one group is not tied to one head
+    order = F.xxhash64("node", F.pmod("kind", F.lit(2)))
     heads = rows.groupBy(F.col("kind").alias("k"), F.col("value").alias("v")).agg(F.min_by("node", order).alias("head"), F.count(F.lit(1)).alias("n"))
     met = rows.join(heads.where("n > 1").hint("merge"), (F.col("kind") == F.col("k")) & (F.col("value") == F.col("v"))).where("node <> head")
-    return scratch.save(met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct(), "proposals")
+    return scratch.save(met.select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), "proposals")
 
 
 def _shingle_sets(width: int):
@@ -351,21 +351,20 @@ def _cell_joins(similarity: float):
 
 
 def _completed(edges: DataFrame, held: DataFrame, sets: DataFrame, scratch: Scratch, similarity: float, shard_rows: int) -> DataFrame:
-    """``held`` and the links that it lacks inside the families that ``edges`` connect."""
-    families = components(edges, scratch).withColumnRenamed("component", "family")
-    pieces = components(held, scratch).toDF("member", "piece")
+    """Links that join what ``held`` joins, and what it leaves apart inside the families that ``edges`` connect."""
+    families = components(chained(edges), scratch).withColumnRenamed("component", "family")
+    pieces = scratch.save(components(chained(held), scratch).toDF("member", "piece"), "pieces")
     members = families.join(pieces.hint("merge"), F.col("node") == F.col("member"), "left").select("node", "family", F.coalesce("piece", "node").alias("piece"))
     members = scratch.save(members, "members")
     torn = members.groupBy(F.col("family").alias("f")).agg(F.min("piece").alias("low"), F.max("piece").alias("high"), F.count(F.lit(1)).alias("n")).where("low <> high")
-    parts = F.ceil(F.col("n") / shard_rows).cast("int").alias("parts")
-    todo = members.join(torn.select("f", parts).hint("merge"), F.col("family") == F.col("f"))
+    todo = meet(members, torn.select("f", F.ceil(F.col("n") / shard_rows).cast("int").alias("parts")), [("family", "f")], "node")
     todo = todo.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     todo = todo.join(sets.withColumnRenamed("node", "owner").hint("merge"), F.col("node") == F.col("owner"))
     met = todo.select("family", "piece", "node", "grams", F.explode(_spread()).alias("c"))
     met = met.select(F.concat_ws("/", "family", "c.p", "c.q").alias("cell"), F.col("c.side").alias("side"), "piece", "node", "grams")
     found = met.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cell_joins(similarity), "a long, b long")
-    links = scratch.save(held.union(found).distinct(), "links")
-    scratch.drop(members, held)
+    links = scratch.save(pieces.where("member <> piece").toDF("a", "b").union(found).distinct(), "links")
+    scratch.drop(members, held, pieces)
     scratch.release()
     return links
 

@@ -5,7 +5,7 @@ from collections import defaultdict
 import xxhash
 
 from gatehouse.llm import simhash
-from gatehouse.llm.components import components
+from gatehouse.llm.components import chained, components
 from gatehouse.llm._scratch import Scratch
 
 
@@ -183,3 +183,13 @@ def test_texts_of_one_fingerprint_stay_apart(spark):
     got = simhash.near_duplicates(docs, carry=True, shingle=5, similarity=0.8).collect()
     assert len({r.fingerprint for r in got}) == 1
     assert {r.doc_id: r.component_id for r in got} == {0: 0, 1: 1, 2: 2}
+
+
+def test_chains_join_what_the_edges_join(spark):
+    rng = random.Random(9)
+    edges = [(leaf, rng.randrange(5) if leaf % 2 else 500 + rng.randrange(3)) for leaf in range(10, 400) for _ in range(12)]
+    df = spark.createDataFrame(edges, "a long, b long")
+    thin = chained(df)
+    assert thin.count() < 420
+    scratch = Scratch(spark, "test")
+    assert {tuple(r) for r in components(thin, scratch).collect()} == {tuple(r) for r in components(df, scratch).collect()}
