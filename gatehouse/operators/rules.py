@@ -82,10 +82,14 @@ def tally_first_reason(verdicts: DataFrame, by: Sequence[str] = ()) -> DataFrame
     return verdicts.where(~F.col("clean")).groupBy(*by, F.get(first, F.lit(0)).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def set_verdict(verdicts: DataFrame) -> DataFrame:
-    """One row over a whole set: items, passed, and whether all pass."""
+def set_verdict(verdicts: DataFrame, batch: DataFrame | None = None) -> DataFrame:
+    """One row over a whole set: items, passed, and whether all pass; a condemning rule on the set itself fails it too."""
     passed = F.coalesce(F.sum(F.col("ok").cast("long")), F.lit(0))
-    return verdicts.agg(F.count(F.lit(1)).alias("items"), passed.alias("passed"), F.coalesce(F.every("ok"), F.lit(True)).alias("ok"))
+    one = verdicts.agg(F.count(F.lit(1)).alias("items"), passed.alias("passed"), F.coalesce(F.every("ok"), F.lit(True)).alias("ok"))
+    if batch is None:
+        return one
+    whole = batch.agg(F.coalesce(F.every("ok"), F.lit(True)).alias("_set"))
+    return one.crossJoin(F.broadcast(whole)).withColumn("ok", F.col("ok") & F.col("_set")).drop("_set")  # one row each
 
 
 def exceedance(value: Column, limit: Column | float) -> Column:

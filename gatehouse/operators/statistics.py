@@ -7,6 +7,7 @@ in the result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -167,17 +168,19 @@ def interpolate(df: DataFrame, at: str, trend: DataFrame, out: str) -> DataFrame
 
 
 def bootstrap_mean(df: DataFrame, value: str, key: str, resamples: int = 2000, alpha: float = 0.05, seed: str = "boot") -> DataFrame:
-    """Percentile interval ``lo, hi`` of the mean over hash-drawn resamples of the rows."""
-    numbered = running_total(df.where(F.col(value).isNotNull()).withColumn("_one", F.lit(1)).withColumn("_k", F.xxhash64(F.lit(seed), key).cast("double")), "_k", "_one", ties=[key])
-    n = numbered.count()
-    if not n:
-        return df.sparkSession.createDataFrame([(None, None)], "lo double, hi double")
-    spark = df.sparkSession
-    draws = spark.range(resamples * n).select((F.col("id") / n).cast("long").alias("b"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).alias("pick"))
-    means = draws.join(numbered.select(F.col("before").alias("pick"), F.col(value).cast("double").alias("v")), "pick").groupBy("b").agg(F.avg("v").alias("m"))
+    """Percentile interval ``lo, hi`` of the mean over resamples in which each row occurs a Poisson(1) number of times.
+
+    The number comes from the MD5 of seed, key and resample, so the resamples are sums in one pass: no row is moved or joined.
+    """
+    pick = F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"), F.col("b").cast("string")))
+    u = F.conv(F.substring(pick, 1, 13), 16, 10).cast("double") / float(1 << 52)
+    edges = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(12)]
+    times = sum(((u >= e).cast("int") for e in edges[1:]), (u >= edges[0]).cast("int"))
+    rows = df.where(F.col(value).isNotNull()).select(key, F.col(value).cast("double").alias("v"), F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b"))
+    sums = rows.select("b", "v", times.alias("k")).groupBy("b").agg(F.try_divide(F.sum(F.col("k") * F.col("v")), F.sum("k")).alias("m"))
     ordered = F.sort_array(F.collect_list("m"))  # one number per resample
     low, high = int(alpha / 2 * resamples), min(resamples - 1, int((1 - alpha / 2) * resamples))
-    return means.agg(ordered.alias("o")).select(F.get("o", F.lit(low)).alias("lo"), F.get("o", F.lit(high)).alias("hi"))
+    return sums.agg(ordered.alias("o")).select(F.get("o", F.lit(low)).alias("lo"), F.get("o", F.lit(high)).alias("hi"))
 
 
 def slope(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFrame:

@@ -178,7 +178,7 @@ def antibody_charge(spark, sf):
 
 @query
 def antibody_pi(spark, sf):
-    return _protein(spark, sf).select("doc_id", r6(S.isoelectric_point("aa", F.lit(""))).alias("pi"))
+    return _protein(spark, sf).select("doc_id", r6(S.isoelectric_point(F.col("aa"), F.lit(""))).alias("pi"))
 
 
 @query
@@ -256,7 +256,7 @@ def median_mad_by_flag(spark, sf):
 
 @query
 def bootstrap_ci(spark, sf):
-    """The interval of the mean order value of each quarter's head, by hash-drawn resamples."""
+    """The interval of the suppliers' mean balance over 500 resamples."""
     c = read(spark, sf, "supplier").select("s_suppkey", "s_acctbal")
     return st.bootstrap_mean(c, "s_acctbal", "s_suppkey", resamples=500).select(r6("lo").alias("lo"), r6("hi").alias("hi"))
 
@@ -323,9 +323,9 @@ def gene_calls(spark, sf):
 
 @query
 def gene_calls_significant(spark, sf):
-    """Genes called at q < 0.05: p-values need erfc, which SQL lacks here."""
-    g = screens.gene_calls(_lfc(spark, sf)).withColumn("p", screens.p_value("z"))
-    return st.benjamini_hochberg(g, "p", "gene").select("gene", "z", "p", "q", (F.col("q") < 0.05).alias("significant"))
+    """Genes called at q < 0.05."""
+    g = screens.gene_calls(_lfc(spark, sf))
+    return st.benjamini_hochberg(g, "p", "gene").select("gene", r6("z").alias("z"), r6("p").alias("p"), r6("q").alias("q"), (F.col("q") < 0.05).alias("significant"))
 
 
 @query
@@ -584,9 +584,9 @@ def _points(spark, sf):
 
 @query
 def cell_hash_distance(spark, sf):
-    """Pairs of points of one label closer than 1, one side odd, the other even."""
+    """All pairs of points of one label closer than 1."""
     p = _points(spark, sf)
-    near = geometry.within(p.where("atom % 2 = 1"), p.where("atom % 2 = 0"), 1.0)
+    near = geometry.within(p, p, 1.0).where("a.atom < b.atom")
     return near.select("g", F.col("a.atom").alias("a"), F.col("b.atom").alias("b"), r6("dist").alias("dist"))
 
 

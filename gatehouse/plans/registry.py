@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gatehouse.functions import antibody as ab
 from gatehouse.functions import sequences as S
 from gatehouse.operators import gates, geometry
-from gatehouse.operators.rules import RuleSet
+from gatehouse.operators.rules import RuleSet, set_verdict
 from gatehouse.sources import readers
 
 
@@ -35,6 +35,10 @@ class QualifyResult:
     items: DataFrame
     batch: DataFrame | None = None
 
+    def verdict(self) -> DataFrame:
+        """One row ``items, passed, ok`` over all items and the set as a whole."""
+        return set_verdict(self.items, self.batch)
+
     def to_json(self) -> DataFrame:
         """One line per item: ``name, ok, clean, score, reasons``."""
         return self.items.select(F.to_json(F.struct("name", "ok", "clean", "score", "reasons")).alias("json"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from gatehouse.functions import sequences as S
 from gatehouse.operators import gates
 
@@ -49,6 +51,12 @@ r AS (SELECT *, rank() OVER (ORDER BY {s}) + (count(*) OVER (PARTITION BY {s}) -
 ties AS (SELECT sum(c::DOUBLE * c * c - c) AS tie FROM (SELECT count(*) AS c FROM r GROUP BY {s}))
 """
 
+# the upper tail of the normal distribution by the Fourier series of the error function
+_UPPER_TAIL = "(1 - 2 / pi() * (least(greatest({{z}} / sqrt(2.0::DOUBLE), -7.5), 7.5) / 5 + {terms})) / 2".format(
+    terms=" + ".join(f"{math.exp(-n * n / 25) / n!r}::DOUBLE * sin({2 * n} * least(greatest({{z}} / sqrt(2.0::DOUBLE), -7.5), 7.5) / 5)" for n in range(1, 33))
+)
+_POISSON = [math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1)) for k in range(12)]
+
 _VEC = """
 train AS (SELECT * FROM embeddings WHERE vec_id % 5 <> 0), test AS (SELECT * FROM embeddings WHERE vec_id % 5 = 0),
 sims AS (SELECT t.vec_id AS query, t.label AS q_label, b.vec_id AS neighbour, b.label AS n_label,
@@ -171,6 +179,33 @@ SQL = {
         b AS (SELECT *, rs - n * (n + 1) / 2.0::DOUBLE AS u, total - n AS o FROM a, w, ties)
         SELECT gene, n, u, round(CASE WHEN o > 0 THEN u / (n * o) ELSE 0.5 END, 6)::DOUBLE AS auroc,
                round((u - n * o / 2) / sqrt(n * o / 12 * (total + 1 - tie / (total * (total - 1)))), 6) AS z FROM b""",
+    "gene_calls_significant": f"""WITH {_COUNTS}, q AS (SELECT gene, -lfc AS v FROM x), {_MW.format(s="v", t="q")},
+        a AS (SELECT gene, count(*) AS n, sum(rk) AS rs FROM r GROUP BY gene), w AS (SELECT count(*)::DOUBLE AS total FROM q),
+        b AS (SELECT *, rs - n * (n + 1) / 2.0::DOUBLE AS u, total - n AS o FROM a, w, ties),
+        zs AS (SELECT gene, (u - n * o / 2) / sqrt(n * o / 12 * (total + 1 - tie / (total * (total - 1)))) AS z FROM b),
+        ps AS (SELECT gene, z, greatest(0, {_UPPER_TAIL.format(z="z")}) AS p FROM zs),
+        qs AS (SELECT *, p * count(*) OVER () / row_number() OVER (ORDER BY p, gene) AS raw FROM ps),
+        f AS (SELECT *, least(1, min(raw) OVER (ORDER BY p, gene ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS fdr FROM qs)
+        SELECT gene, round(z, 6) AS z, round(p, 6)::DOUBLE AS p, round(fdr, 6)::DOUBLE AS q, fdr < 0.05 AS significant FROM f""",
+    "size_greedy_split": """WITH RECURSIVE sizes AS (
+            SELECT c_mktsegment AS g, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, c_mktsegment) AS i FROM customer GROUP BY 1),
+        lim AS (SELECT floor(sum(n) * 0.8::DOUBLE) AS room FROM sizes),
+        walk AS (SELECT 0::BIGINT AS i, NULL::VARCHAR AS g, 0::BIGINT AS n, 0::BIGINT AS used, false AS fits
+            UNION ALL SELECT s.i, s.g, s.n, CASE WHEN w.used + s.n <= room THEN w.used + s.n ELSE w.used END, w.used + s.n <= room
+            FROM walk w JOIN sizes s ON s.i = w.i + 1, lim)
+        SELECT g AS c_mktsegment, CASE WHEN fits THEN 'train' ELSE 'test' END AS split, n FROM walk WHERE i > 0""",
+    "bootstrap_ci": f"""WITH u AS (SELECT b, s_acctbal::DOUBLE AS v, {_unit("'boot|' || s_suppkey || '|' || b")} AS u FROM supplier, range(500) t(b)),
+        k AS (SELECT b, v, {" + ".join(f"(u >= {e!r}::DOUBLE)::INT" for e in _POISSON)} AS k FROM u),
+        m AS (SELECT b, sum(k * v) / sum(k) AS m FROM k GROUP BY b HAVING sum(k) > 0), o AS (SELECT list_sort(list(m)) AS o FROM m)
+        SELECT round(o[13], 6) AS lo, round(o[488], 6) AS hi FROM o""",
+    "antibody_pi": f"""WITH RECURSIVE d AS (SELECT doc_id, {_AS_AA} AS aa FROM documents),
+        c AS (SELECT doc_id, length(aa) AS n, {", ".join(f"length(aa) - length(replace(aa, '{r}', '')) AS n{r}" for r in (*S.PKA_POSITIVE, *S.PKA_NEGATIVE))} FROM d),
+        w AS (SELECT *, 7::DOUBLE AS x, 3.5::DOUBLE AS step, 0 AS i FROM c
+            UNION ALL SELECT doc_id, n, {", ".join(f"n{r}" for r in (*S.PKA_POSITIVE, *S.PKA_NEGATIVE))}, x + CASE WHEN
+                1 / (1 + pow(10, x - {S.PKA_START})) {" ".join(f"+ n{r} / (1 + pow(10, x - {p}))" for r, p in S.PKA_POSITIVE.items())}
+                - 1 / (1 + pow(10, {S.PKA_END} - x)) {" ".join(f"- n{r} / (1 + pow(10, {p} - x))" for r, p in S.PKA_NEGATIVE.items())} > 0 THEN step ELSE -step END, step / 2, i + 1
+            FROM w WHERE i < 60)
+        SELECT doc_id, CASE WHEN n = 0 THEN 7::DOUBLE ELSE round(x, 6) END AS pi FROM w WHERE i = 60""",
     "null_band": f"WITH {_COUNTS} SELECT round(avg(lfc) - 3 * stddev_pop(lfc), 5) AS lo, round(avg(lfc) + 3 * stddev_pop(lfc), 5) AS hi FROM x WHERE gene <= 50",
     "screen_reliability": f"""WITH {_COUNTS}, y AS (SELECT gene, round(init, 4) >= 30 AS usable, lfc FROM x),
         band AS (SELECT avg(lfc) - 3 * stddev_pop(lfc) AS lo FROM y WHERE gene <= 50),
@@ -240,7 +275,7 @@ SQL = {
         SELECT event_id AS design, round(CASE WHEN value >= 80 AND s < 0.3 THEN 100 - value ELSE value END, 6) AS value, CASE WHEN value < 80 AND f < 0.05 THEN 0.40 ELSE 0.05 END::DOUBLE AS replicate_cv,
                CASE WHEN value >= 80 AND s < 0.3 AND d < 0.75 THEN 15.0 ELSE 1.0 END::DOUBLE AS signal FROM u""",
     "cell_hash_distance": f"""WITH {_POINTS} SELECT a.g, a.atom AS a, b.atom AS b, round(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), 6) AS dist
-        FROM p a JOIN p b ON a.g = b.g AND a.atom % 2 = 1 AND b.atom % 2 = 0 WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) < 1.0""",
+        FROM p a JOIN p b ON a.g = b.g AND a.atom < b.atom WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) < 1.0""",
     "interface_gate": f"""WITH {_POINTS}, rad(e, r) AS (VALUES ('C', 1.75::DOUBLE), ('N', 1.55::DOUBLE), ('O', 1.40::DOUBLE), ('S', 1.80::DOUBLE)), q AS (SELECT p.*, r FROM p JOIN rad ON e = element),
         d AS (SELECT a.g, a.atom AS a, b.atom AS b, a.r AS ra, b.r AS rb, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS dist, a.element = 'S' AND b.element = 'S' AS ss
               FROM q a JOIN q b ON a.g = b.g AND a.atom % 2 = 1 AND b.atom % 2 = 0),

@@ -14,13 +14,13 @@ class SourceError(ValueError):
 
 
 def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """``file, n, name, seq``: one row per record; the name is the header's first word, or ``seq{n}`` for a blank one."""
+    """``file, n, name, seq``: one row per record; the name is the header's first word, or ``seq`` and the number of records before it."""
     text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     records = text.select("file", F.posexplode(F.split("value", "(?m)^>")).alias("n", "record")).where("n > 0")
     head = F.split("record", "\\r?\\n", 2)
     name = F.regexp_extract(F.get(head, F.lit(0)), r"^\s*(\S*)", 1)
     body = F.regexp_replace(F.coalesce(F.get(head, F.lit(1)), F.lit("")), r"\s", "")
-    return records.select("file", "n", F.when(name == "", F.concat(F.lit("seq"), F.col("n"))).otherwise(name).alias("name"), body.alias("seq"))
+    return records.select("file", "n", F.when(name == "", F.concat(F.lit("seq"), F.col("n") - 1)).otherwise(name).alias("name"), body.alias("seq"))
 
 
 def dna(records: DataFrame) -> DataFrame:
@@ -37,17 +37,33 @@ def smiles(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.get(parts, F.lit(0)).alias("smiles"), F.coalesce(F.get(parts, F.lit(1)), F.get(parts, F.lit(0))).alias("name"))
 
 
+# What a header says of a chain, as parts of it or as the whole of it.
+HEAVY_PARTS, HEAVY_NAMES, LIGHT_PARTS, LIGHT_NAMES = "heavy|vhh|vh|hc", ["h"], "light|vl|kappa|lambda|lc", ["l", "k"]
+
+
 def antibody_pairs(records: DataFrame) -> DataFrame:
-    """``file, heavy, light``: chains by what the header says, the others by order; a lone chain is heavy."""
+    """``file, heavy, light``: the first chain of each role by its header, the places left filled by the others in order.
+
+    A lone chain is heavy.  A chosen chain that is empty or holds a foreign letter is an error that names it.
+    """
     low = F.lower("name")
-    role = F.when(low.rlike("heavy|(^|[_|. -])vh|_h$"), "H").when(low.rlike("light|kappa|lambda|(^|[_|. -])vl|_l$"), "L")
-    named = records.withColumn("role", role)
-    pick = lambda r: F.min_by("seq", F.when(F.col("role") == r, F.col("n")))
-    rest = F.array_sort(F.collect_list(F.when(F.col("role").isNull(), F.struct("n", "seq"))))
-    g = named.groupBy("file").agg(pick("H").alias("h"), pick("L").alias("l"), rest.alias("rest"))
-    first = F.get("rest", F.lit(0))["seq"]
+    heavy = low.rlike(HEAVY_PARTS) | low.isin(HEAVY_NAMES)
+    role = F.when(heavy, "H").when(low.rlike(LIGHT_PARTS) | low.isin(LIGHT_NAMES), "L")
+    chains = F.array_sort(F.collect_list(F.struct("n", role.alias("role"), "seq")))
+    g = records.groupBy("file").agg(chains.alias("all"))
+    first = lambda r: F.get(F.filter("all", lambda x: x["role"] == r), F.lit(0))
+    g = g.withColumn("h", first("H")).withColumn("l", first("L"))
+    named = F.array(F.coalesce(F.col("h.n"), F.lit(-1)), F.coalesce(F.col("l.n"), F.lit(-1)))
+    g = g.withColumn("rest", F.filter("all", lambda x: ~F.array_contains(named, x["n"])))
     second = F.get("rest", F.when(F.col("h").isNull(), 1).otherwise(0))["seq"]
-    return g.select("file", F.coalesce("h", first).alias("heavy"), F.coalesce("l", second).alias("light"))
+    both = g.select("file", F.coalesce("h.seq", F.get("rest", F.lit(0))["seq"]).alias("heavy"), F.coalesce("l.seq", second).alias("light"))
+
+    def checked(chain: str) -> Column:
+        clean = F.upper(F.regexp_replace(chain, r"\s", ""))
+        bad = F.raise_error(F.concat(F.lit(f"not an amino acid sequence: {chain} chain of "), F.col("file")))
+        return F.when(F.col(chain).isNull() | clean.rlike("^[ACDEFGHIKLMNPQRSTVWY]+$"), clean).otherwise(bad).alias(chain)
+
+    return both.select("file", checked("heavy"), checked("light"))
 
 
 def inline_antibody(value: Column) -> tuple[Column, Column]:
@@ -118,8 +134,8 @@ def cif(spark: SparkSession, path: str, heavy_only: bool = True) -> DataFrame:
 
 
 # Residues of proteins, and what counts as solvent.
-STANDARD = "ALA ARG ASN ASP CYS GLN GLU GLY HIS ILE LEU LYS MET PHE PRO SER THR TRP TYR VAL MSE SEC".split()
-SOLVENT = "HOH WAT DOD NA CL K MG CA ZN MN FE SO4 PO4 GOL EDO".split()
+STANDARD = "ALA ARG ASN ASP CYS GLN GLU GLY HIS ILE LEU LYS MET PHE PRO SER THR TRP TYR VAL MSE SEC PYL HID HIE HIP CYX ASH GLH LYN".split()
+SOLVENT = "HOH WAT DOD TIP SOL".split()
 
 
 def split_ligand(atoms: DataFrame, ligand: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -184,12 +200,12 @@ def user_screen(spark: SparkSession, path: str) -> DataFrame:
 
     target = F.trim(F.col(f"`{found['target']}`"))
     p = F.coalesce(number("p"), F.raise_error(F.concat(F.lit("no p-value for "), target)).cast("double"))
-    by_name = F.lower(target).isin(CONTROL_TARGETS)
-    control = F.lower(F.trim(F.col(f"`{found['control']}`"))).isin(TRUE_WORDS) if found["control"] else F.lit(False)
+    # a control column decides alone; without one the target's name does
+    control = F.lower(F.trim(F.col(f"`{found['control']}`"))).isin(TRUE_WORDS) if found["control"] else F.lower(target).isin(CONTROL_TARGETS)
     return raw.select(
         target.alias("target"), (number("knockdown_resid") if found["knockdown_resid"] else F.lit(None).cast("double")).alias("knockdown_resid"), p.alias("p"),
         F.coalesce(number("n_cells") if found["n_cells"] else F.lit(None), F.lit(float(MISSING_CELLS))).cast("int").alias("n_cells"),
-        (F.coalesce(control, F.lit(False)) | by_name).alias("is_control"),
+        F.coalesce(control, F.lit(False)).alias("is_control"),
     )
 
 

@@ -14,7 +14,7 @@ def test_fasta_and_qualify(spark, tmp_path):
     f = tmp_path / "a.fasta"
     f.write_text(f">one first\n{CLEAN[:30]}\n{CLEAN[30:]}\n>\n{'AT' * 30}\n")
     got = {r.name: r for r in registry.qualify(spark, str(f), "dna").items.collect()}
-    assert got["one"].ok and got["one"].seq == CLEAN and got["seq2"].fired[0] == "GC_OUT_OF_BAND"
+    assert got["one"].ok and got["one"].seq == CLEAN and got["seq1"].fired[0] == "GC_OUT_OF_BAND"
     with pytest.raises(registry.QualifyError):
         registry.qualify(spark, str(f))
     with pytest.raises(registry.QualifyError):
