@@ -8,9 +8,10 @@ import sys
 
 from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from gatehouse.operators import screens
-from gatehouse.operators.repair import check_dna, edit_dna, repair
+from gatehouse.operators.repair import AGENTS, repair, trajectory
 from gatehouse.plans import registry
 from gatehouse.sources import readers
 
@@ -26,6 +27,7 @@ def _parser() -> argparse.ArgumentParser:
         q.add_argument(option)
     r = sub.add_parser("repair")
     r.add_argument("sequence")
+    r.add_argument("-m", "--modality", choices=sorted(AGENTS), default="dna")
     r.add_argument("--rounds", type=int, default=8)
     r.add_argument("--clear", action="append", default=[])
     r.add_argument("--json", action="store_true")
@@ -42,26 +44,28 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         print("\n".join([*registry.modalities(), "audit: screen, single-cell"]))
         return 0
     if args.command == "repair":
-        done, reason, steps = repair(args.sequence.upper(), check_dna, edit_dna, args.rounds, tuple(args.clear))
+        done, reason, steps = repair(args.sequence.upper(), *AGENTS[args.modality], args.rounds, tuple(args.clear))
         rows = [{"round": s.round, "fired": s.fired, "score": s.score} for s in steps]
-        print(json.dumps({"stop_reason": reason, "artifact": done, "steps": rows}) if args.json else f"{reason} after {steps[-1].round} rounds\n{done}")
+        print(json.dumps({"stop_reason": reason, "artifact": done, "steps": rows}) if args.json else f"{trajectory(steps, reason)}\n{done}")
         return int(reason != "converged")
     spark = spark or SparkSession.builder.getOrCreate()
     try:
         if args.command == "qualify":
             opts = {k: v for k, v in vars(args).items() if k in ("ligand_resname", "chain_a", "chain_b") and v}
             result = registry.qualify(spark, args.artifact, args.modality, **opts)
-            failed = 0
             for row in result.to_json().toLocalIterator():
                 item = json.loads(row["json"])
-                failed += not item["ok"]
                 print(row["json"] if args.json else f"{'PASS' if item['ok'] else 'FAIL'} {item['name']} {[r['contract'] for r in item['reasons']]}")
-            return int(failed > 0)
+            if result.batch is not None:
+                for reason in result.batch.first()["reasons"]:
+                    print(json.dumps({"set": reason.asDict()}) if args.json else f"SET {reason['contract']}")
+            return int(not result.verdict().first()["ok"])
         if args.what == "single-cell":
             print(screens.single_cell_audit(readers.user_screen(spark, args.input).where("not is_control")).toJSON().first())
             return 0
         guides = screens.guide_stats(readers.counts(spark, args.input))
-        report = screens.reliability(guides, screens.dispersion_limit(guides), screens.null_band(guides, guides.gene.isNotNull()))
+        controls = F.lower("gene").isin(readers.CONTROL_TARGETS)  # without controls the band is unbounded
+        report = screens.reliability(guides, screens.dispersion_limit(guides), screens.null_band(guides, controls))
         for line in report.toJSON().toLocalIterator():
             print(line)
         return 0

@@ -54,6 +54,38 @@ def dna_severity(scans: bool = True) -> Column:
     return total + exceedance(c("hairpin.stem"), float(STEM)) if scans else total
 
 
+def _over(value: Column, limit: float) -> Column:
+    return exceedance(value, F.lit(limit))
+
+
+def _under(value: Column, limit: float) -> Column:
+    return exceedance(F.lit(limit), F.greatest(value, F.lit(1e-6)))
+
+
+def molecule_severity() -> Column:
+    """10 for an invalid molecule, else how far the condemning limits are exceeded."""
+    return F.when(~c("valid"), 10.0).otherwise(_over(c("sa"), 6.0) + _over(c("mw"), 900.0) + _over(c("logp"), 7.0))
+
+
+def pose_severity() -> Column:
+    """Bonds, angles and strain count where the reference geometry is known (``ref_ok``, and ``energy_ok`` for strain)."""
+    bonds = _under(c("bond_lo"), 0.75) + _over(c("bond_hi"), 1.25) + _over(c("angle_hi") - 1.0, 0.25)
+    strain = _over(F.log10(F.greatest(c("energy_ratio"), F.lit(1.0))), 2.0)
+    shape = _over(c("ring_dev"), 0.25) + _over(c("twist"), 25.0) + _under(c("clash_rel"), 0.60)
+    return F.when(c("ref_ok"), bonds).otherwise(0.0) + shape + F.when(c("ref_ok") & c("energy_ok"), strain).otherwise(0.0)
+
+
+def cofold_severity() -> Column:
+    """0 without a frame; otherwise depth of the clash, overlap and distance."""
+    near = F.coalesce(_under(c("min_rel"), 0.75), F.lit(0.0))
+    return F.when(c("framed"), near + _over(F.coalesce("overlap_frac", F.lit(0.0)), 0.075) + _over(c("min_dist"), 5.0)).otherwise(0.0)
+
+
+def complex_severity() -> Column:
+    """0 without a frame; otherwise depth of the overlap, burial and distance."""
+    return F.when(c("framed"), _over(c("max_overlap"), 0.90) + _over(c("buried_frac"), 0.10) + _over(c("min_dist"), 5.0)).otherwise(0.0)
+
+
 def dna_batch_rules() -> RuleSet:
     """Over one row ``mild`` (pairs with a common stretch from 12) and ``severe`` (from 20)."""
     return (

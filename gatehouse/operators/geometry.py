@@ -66,40 +66,27 @@ def ligand_features(protein: DataFrame, ligand: DataFrame, group: str = "complex
 
 
 def volume_overlap(protein: DataFrame, ligand: DataFrame, step: float = 0.5, group: str = "complex") -> DataFrame:
-    """``g, overlap_frac``: the share of the ligand's volume inside the protein, on a grid of ``step`` over its box.
+    """``g, overlap_frac``: the share of the ligand's grid points that lie inside the protein.
 
-    Only protein atoms that can reach the ligand travel to the complex's task; a complex's two sides are its group.
+    The grid of ``step`` starts at the ligand's lower corner.  Every ligand atom lists the points of its own ball; points
+    meet the protein's atoms over grid cells as wide as the largest ball, so no complex is gathered.
     """
-    import numpy as np
-    import pandas as pd
-
-    reach = 2 * max(BONDI.values())
-    near = within(ligand, protein, reach, group).select("g", "b.*").dropDuplicates(["g", "atom"])
-
-    def share(key, lig, pro):
-        def ball(frame):
-            at = frame[["x", "y", "z"]].to_numpy(float)
-            size = np.array([BONDI.get(str(e).capitalize(), DEFAULT_RADIUS) for e in frame["element"]])
-            return at, size
-
-        def inside(points, at, size):
-            hit = np.zeros(len(points), bool)
-            for centre, r in zip(at, size, strict=True):
-                hit |= ((points - centre) ** 2).sum(axis=1) <= r * r
-            return hit
-
-        at, size = ball(lig)
-        if not len(at):
-            return pd.DataFrame({"g": [], "overlap_frac": []})
-        low, high = (at - size[:, None]).min(axis=0), (at + size[:, None]).max(axis=0)
-        axes = [np.arange(a, b + step, step) for a, b in zip(low, high, strict=True)]
-        points = np.stack(np.meshgrid(*axes, indexing="ij"), axis=-1).reshape(-1, 3)
-        own = points[inside(points, at, size)]
-        return pd.DataFrame({"g": [key[0]], "overlap_frac": [float(inside(own, *ball(pro)).mean()) if len(own) else 0.0]})
-
-    kind = ligand.schema[group].dataType.simpleString()
-    left = ligand.select(F.col(group).alias("g"), "element", "x", "y", "z").groupBy("g")
-    return left.cogroup(near.select("g", "element", "x", "y", "z").groupBy("g")).applyInPandas(share, f"g {kind}, overlap_frac double")
+    wide = max(BONDI.values())
+    atoms = ligand.select(F.col(group).alias("g"), *[F.col(k).cast("double").alias(k) for k in "xyz"], radius(F.col("element"), BONDI).alias("r"))
+    corner = atoms.groupBy("g").agg(*[F.min(F.col(k) - F.col("r")).alias(f"low_{k}") for k in "xyz"])
+    points = atoms.join(corner, "g")
+    for k in "xyz":
+        first, last = (F.floor((F.col(k) + sign * F.col("r") - F.col(f"low_{k}")) / step) for sign in (-1, 1))
+        points = points.withColumn(f"i{k}", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
+    away = lambda x: sum((F.pow(F.col(f"low_{k}") + F.col(f"i{k}") * step - x(k), 2) for k in "xyz"), F.lit(0.0))
+    points = points.where(away(F.col) <= F.col("r") * F.col("r")).select("g", "ix", "iy", "iz").distinct().join(corner, "g")
+    points = points.select("*", *[F.floor((F.col(f"low_{k}") + F.col(f"i{k}") * step) / wide).alias(f"c{k}") for k in "xyz"])
+    balls = protein.select(F.col(group).alias("g"), *[F.col(k).cast("double").alias(f"p{k}") for k in "xyz"], radius(F.col("element"), BONDI).alias("pr"))
+    for k in "xyz":
+        balls = balls.withColumn(f"c{k}", F.explode(F.array(*[F.floor(F.col(f"p{k}") / wide) + d for d in (-1, 0, 1)])))
+    near = points.join(balls, ["g", "cx", "cy", "cz"]).where(away(lambda k: F.col(f"p{k}")) <= F.col("pr") * F.col("pr")).select("g", "ix", "iy", "iz").distinct()
+    inside = near.groupBy("g").agg(F.count(F.lit(1)).alias("inside"))
+    return points.groupBy("g").agg(F.count(F.lit(1)).alias("all")).join(inside, "g", "left").select("g", (F.coalesce("inside", F.lit(0)) / F.col("all")).alias("overlap_frac"))
 
 
 def interface_features(side_a: DataFrame, side_b: DataFrame, group: str = "complex") -> DataFrame:
@@ -140,3 +127,63 @@ def worst_clashes(side_a: DataFrame, side_b: DataFrame, top: int = 8, group: str
 def moved(atoms: DataFrame, dx: float = 0.0, dy: float = 0.0, dz: float = 0.0) -> DataFrame:
     """A decoy: the same atoms, shifted."""
     return atoms.withColumns({"x": F.col("x") + dx, "y": F.col("y") + dy, "z": F.col("z") + dz})
+
+
+def all_chain_pairs(atoms: DataFrame, group: str = "complex") -> DataFrame:
+    """``g, pairs, n_clash, max_overlap, min_dist`` over all pairs of chains of a complex that come within reach."""
+    near = within(atoms, atoms, REACH, group).where("a.chain < b.chain")
+    ra, rb = (radius(F.col(f"{s}.element"), BONDI | CONTACT) for s in "ab")
+    bond = (F.col("a.element") == "S") & (F.col("b.element") == "S") & (F.col("dist") < DISULFIDE)
+    overlap = F.when(~bond, ra + rb - F.col("dist"))
+    return near.groupBy("g").agg(
+        F.countDistinct("a.chain", "b.chain").alias("pairs"), F.count_if(overlap > CLASH_OVERLAP).alias("n_clash"),
+        F.greatest(F.max(overlap), F.lit(0.0)).alias("max_overlap"), F.min("dist").alias("min_dist"),
+    )
+
+
+def primary_pair(atoms: DataFrame, largest: int = 4, reach: float = 6.0, group: str = "complex") -> DataFrame:
+    """``g, chain_a, chain_b, contacts``: of the largest chains the pair with most atoms of the first near the second.
+
+    Chains stand in order of size, then name; of equal pairs the first one wins.
+    """
+    from pyspark.sql import Window as W
+
+    sizes = atoms.groupBy(F.col(group).alias("g"), "chain").agg(F.count(F.lit(1)).alias("n"))
+    top = sizes.withColumn("place", F.row_number().over(W.partitionBy("g").orderBy(F.desc("n"), "chain"))).where(F.col("place") <= largest)
+    some = atoms.join(top.select(F.col("g").alias(group), "chain", "place"), [group, "chain"])
+    near = within(some, some, reach, group).where("a.place < b.place")
+    counts = near.groupBy("g", F.col("a.chain").alias("chain_a"), F.col("b.chain").alias("chain_b"), F.col("a.place").alias("pa"), F.col("b.place").alias("pb"))
+    counts = counts.agg(F.countDistinct("a.atom").alias("contacts"))
+    rank = F.row_number().over(W.partitionBy("g").orderBy(F.desc("contacts"), "pa", "pb"))
+    return counts.withColumn("_r", rank).where("_r = 1").select("g", "chain_a", "chain_b", "contacts")
+
+
+def centroid(atoms: DataFrame, group: str = "complex") -> DataFrame:
+    return atoms.groupBy(F.col(group).alias("g")).agg(*[F.avg(k).alias(f"m{k}") for k in "xyz"])
+
+
+def turned(atoms: DataFrame, axis: tuple[float, float, float], degrees: float, group: str = "complex") -> DataFrame:
+    """A decoy: every complex's atoms turned about its centroid (Rodrigues' formula)."""
+    import math
+
+    size = math.sqrt(sum(v * v for v in axis)) or 1.0
+    u, angle = [v / size for v in axis], math.radians(degrees)
+    x = atoms.join(centroid(atoms, group), F.col(group) == F.col("g"))
+    p = [F.col(k) - F.col(f"m{k}") for k in "xyz"]
+    cross = [u[1] * p[2] - u[2] * p[1], u[2] * p[0] - u[0] * p[2], u[0] * p[1] - u[1] * p[0]]
+    along = sum((a * b for a, b in zip(u[1:], p[1:], strict=True)), u[0] * p[0])
+    new = [p[i] * math.cos(angle) + cross[i] * math.sin(angle) + u[i] * along * (1 - math.cos(angle)) + F.col(f"m{k}") for i, k in enumerate("xyz")]
+    return x.withColumns(dict(zip("xyz", new, strict=True))).select(*atoms.columns)
+
+
+def carried(atoms: DataFrame, towards: DataFrame, share: float, group: str = "complex") -> DataFrame:
+    """A decoy: atoms moved along the line to the other side's centroid; 1 lays centroid on centroid, below 0 leads away."""
+    own, other = centroid(atoms, group), centroid(towards, group).toDF("o", "ox", "oy", "oz")
+    x = atoms.join(own, F.col(group) == F.col("g")).join(other, F.col(group) == F.col("o"))
+    return x.withColumns({k: F.col(k) + share * (F.col(f"o{k}") - F.col(f"m{k}")) for k in "xyz"}).select(*atoms.columns)
+
+
+def clash_ends(ends: DataFrame) -> DataFrame:
+    """``cid, a, b`` from rows ``cid, end``: clashes with exactly two ends, the smaller one first."""
+    both = ends.groupBy("cid").agg(F.array_sort(F.collect_list("end")).alias("e"), F.count(F.lit(1)).alias("n")).where("n = 2")
+    return both.select("cid", F.get("e", F.lit(0)).alias("a"), F.get("e", F.lit(1)).alias("b"))

@@ -1,8 +1,7 @@
 """Rank statistics and multiple testing as plans whose global order is never taken in one task.
 
-A global order is cut at approximate quantiles into ranges.  Totals per range are few rows, so a value's running
-total is the total of the ranges before it plus a window within its own range; where the cuts lie changes nothing
-in the result.
+A global order is cut into ranges of some ``RANGE_ROWS`` rows.  Totals per range are few rows, so a value's running total
+is the total of the ranges before it plus a window within its own range; where the cuts lie changes nothing in the result.
 """
 
 from __future__ import annotations
@@ -10,42 +9,40 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RANGES = 64
+from gatehouse.sources.scratch import held
 
+#: Rows of a range, and the most ranges there are.
+RANGE_ROWS, MAX_RANGES = 200_000, 20_000
 
-def held(df: DataFrame) -> DataFrame:
-    """Kept in memory or on disk, since the quantiles below read it before the plan does; lost parts are computed again."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
-
-def _range_of(df: DataFrame, order: str, ranges: int = RANGES) -> Column:
-    """Which range of the global order a value lies in."""
-    cuts = df.approxQuantile(order, list(np.linspace(0, 1, ranges + 1)[1:-1]), 0.005)
-    cuts = sorted(set(cuts))
-    return F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x < F.col(order))) if cuts else F.lit(0)
+def ranged(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` with ``_range``, rising along the order: how many ranges follows from the rows, and ties may part."""
+    df = held(df)
+    ranges = min(MAX_RANGES, -(-df.count() // RANGE_ROWS))
+    if ranges <= 1:
+        return df.withColumn("_range", F.lit(0))
+    return held(df.repartitionByRange(ranges, *order).withColumn("_range", F.spark_partition_id()))
 
 
 def running_total(df: DataFrame, order: str, value: str, by: Sequence[str] = (), ties: Sequence[str] = (), descending: bool = False) -> DataFrame:
     """``df`` with ``before``: the sum of ``value`` over all rows earlier in the order by (order, ties), per group.
 
-    ``order`` is numeric; rows equal in order and ties must not exist for a defined result.
+    Rows equal in order and ties must not exist for a defined result.
     """
-    df = held(df)
-    df = df.withColumn("_range", _range_of(df, order))
+    line = [F.desc(order) if descending else F.asc(order), *(F.asc(t) for t in ties)]
+    df = ranged(df, *line)
     sums = df.groupBy(*by, "_range").agg(F.sum(value).alias("_sum"))
-    direction = F.desc("_range") if descending else F.asc("_range")
-    earlier = F.coalesce(F.sum("_sum").over(W.partitionBy(*by).orderBy(direction).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    # one row for each group and range
+    earlier = F.coalesce(F.sum("_sum").over(W.partitionBy(*by).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     base = sums.select(*[F.col(b).alias(f"_b_{b}") for b in by], F.col("_range").alias("_r"), earlier.alias("_base"))
     match = F.col("_range") == F.col("_r")
     for b in by:
         match = match & F.col(b).eqNullSafe(F.col(f"_b_{b}"))
-    own = W.partitionBy(*by, "_range").orderBy(F.desc(order) if descending else F.asc(order), *ties).rowsBetween(W.unboundedPreceding, -1)
+    own = W.partitionBy(*by, "_range").orderBy(*line).rowsBetween(W.unboundedPreceding, -1)
     out = df.join(base, match).withColumn("before", F.col("_base") + F.coalesce(F.sum(value).over(own), F.lit(0)))
     return out.drop("_range", "_r", "_base", *[f"_b_{b}" for b in by])
 
@@ -110,11 +107,11 @@ def benjamini_hochberg(df: DataFrame, p: str, key: str) -> DataFrame:
     """``df`` with ``q``: the least of p·n/rank over this and all later ranks, at most 1; ties by ``key``."""
     df = held(df)
     n = df.agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_total(df.withColumn("_one", F.lit(1)), p, "_one", ties=[key]).crossJoin(F.broadcast(n))
-    ranked = ranked.withColumn("_raw", F.col(p) * F.col("_n") / (F.col("before") + 1)).withColumn("_range", _range_of(df, p))
+    ranked = running_total(df.withColumn("_one", F.lit(1)), p, "_one", ties=[key]).crossJoin(F.broadcast(n))  # one row
+    ranked = ranged(ranked.withColumn("_raw", F.col(p) * F.col("_n") / (F.col("before") + 1)), F.asc(p), F.asc(key))
     later = ranked.groupBy("_range").agg(F.min("_raw").alias("_low"))
     after = F.min("_low").over(W.orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1))
-    rest = later.select(F.col("_range").alias("_r"), after.alias("_after"))
+    rest = later.select(F.col("_range").alias("_r"), after.alias("_after"))  # one row for each range
     own = F.min("_raw").over(W.partitionBy("_range").orderBy(p, key).rowsBetween(W.currentRow, W.unboundedFollowing))
     out = ranked.join(F.broadcast(rest), F.col("_range") == F.col("_r")).withColumn("q", F.least(F.lit(1.0), own, F.col("_after")))
     return out.drop("_one", "before", "_n", "_raw", "_range", "_r", "_after")
@@ -129,11 +126,26 @@ def average_precision(df: DataFrame, score: str, label: str, key: str) -> DataFr
     return hits.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_hit"), F.lit(0)).alias("positives"), F.coalesce(F.avg(precision), F.lit(0.0)).alias("ap"))
 
 
+def median(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "med") -> DataFrame:
+    """Per group the exact median, from running counts of the distinct values; no group is gathered."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_k"))
+    placed = running_total(counts, "_v", "_k", by)
+    total = placed.groupBy(*by).agg(F.sum("_k").alias("_n"))
+    match = F.lit(True)
+    for b in by:
+        match = match & F.col(b).eqNullSafe(F.col(f"_t_{b}"))
+    x = placed.join(total.select(*[F.col(b).alias(f"_t_{b}") for b in by], "_n"), match)
+    at = lambda i: F.max(F.when((F.col("before") <= i) & (i < F.col("before") + F.col("_k")), F.col("_v")))
+    return x.groupBy(*by).agg(((at(F.floor((F.col("_n") - 1) / 2)) + at(F.floor(F.col("_n") / 2))) / 2).alias(name))
+
+
 def median_mad(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Per group ``med`` and ``mad``, the median distance from it."""
-    centre = df.groupBy(*by).agg(F.median(value).alias("med"))
-    joined = df.join(centre, list(by)) if by else df.crossJoin(F.broadcast(centre))
-    return joined.groupBy(*by, "med").agg(F.median(F.abs(F.col(value) - F.col("med"))).alias("mad"))
+    df = held(df.select(*by, value))
+    centre = held(median(df, value, by))
+    joined = df.join(centre, list(by)) if by else df.crossJoin(F.broadcast(centre))  # one row
+    far = median(joined.withColumn("_far", F.abs(F.col(value) - F.col("med"))), "_far", by, "mad")
+    return centre.join(far, list(by)) if by else centre.crossJoin(F.broadcast(far))
 
 
 def equal_bins(df: DataFrame, order: str, ties: Sequence[str], bins: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gatehouse.functions import antibody as ab
 from gatehouse.functions import sequences as S
-from gatehouse.operators import gates, geometry, leakage, loop, models, repair, rules, screens
+from gatehouse.operators import audits, gates, geometry, guides, leakage, loop, models, repair, rules, screens
 from gatehouse.operators import statistics as st
 from gatehouse.plans import registry
 from gatehouse.plans.sql import SQL
@@ -349,6 +349,34 @@ def screen_thinned(spark, sf):
     return report.groupBy("under_powered").agg(F.count(F.lit(1)).alias("genes"))
 
 
+def _references(guides_):
+    """Every seventh gene as essential, the ones after them as non-essential: stand-ins for two reference lists."""
+    genes = guides_.select("gene").distinct()
+    return genes.where("gene % 7 = 0"), genes.where("gene % 7 = 1")
+
+
+@query
+def screen_evaluation(spark, sf):
+    """Do the rules find the essential genes that the calls miss?  Five calibration halves."""
+    g = _lfc(spark, sf).withColumn("init", F.round("init", 4))
+    e = screens.evaluate(g, *_references(g), seeds=5)
+    return e.select(*[r6(c).alias(c) for c in ("q1", "q2", "q3", "q4_base", "q4_combined")], "supported", "n_essential")
+
+
+@query
+def screen_baseline_gate(spark, sf):
+    g = _lfc(spark, sf)
+    b = screens.baseline_gate(g, *_references(g))
+    return b.select(*[r6(c).alias(c) for c in ("auroc", "ap", "median_essential", "median_nonessential")])
+
+
+@query
+def guide_stress(spark, sf):
+    """The chosen genes keep two guides each."""
+    c = _counts(spark, sf)
+    return screens.guide_stress(c, *_references(c), keep=2).select("stressed", "dropped", "floor_flagged", "control_quiet", "control_flagged")
+
+
 @query
 def subsample_guides(spark, sf):
     kept = screens.keep_guides(_counts(spark, sf), 3)
@@ -499,6 +527,95 @@ def majority_floor(spark, sf):
     return c.agg(r6(F.max("n") / F.sum("n")).alias("floor"))
 
 
+def _sites(spark, sf):
+    """Parts and suppliers as nodes whose names are their sequences, with a label per pair that meets."""
+    l = read(spark, sf, "lineitem").groupBy("l_partkey", "l_suppkey").agg(F.max("l_quantity").alias("q"))
+    e = l.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("a"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("b"), (F.col("q") > 25).cast("int").alias("label"))
+    p, s = read(spark, sf, "part"), read(spark, sf, "supplier")
+    nodes = p.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("text"))
+    return e.withColumn("key", F.concat_ws("|", "a", "b")), nodes.union(s.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")), "s_name"))
+
+
+@query
+def node_disjoint_split(spark, sf):
+    e, _ = _sites(spark, sf)
+    return audits.node_disjoint_split(e, "a", "b", 0.2, "s1").groupBy("split").agg(F.count(F.lit(1)).alias("pairs"), F.sum("label").alias("positive"))
+
+
+@query
+def holdout_split(spark, sf):
+    e, _ = _sites(spark, sf)
+    return audits.holdout_split(e, "a", "b", "key", "s1").groupBy("split").agg(F.count(F.lit(1)).alias("pairs"), F.sum("label").alias("positive"))
+
+
+@query
+def pair_audit(spark, sf):
+    """Memory of nodes in a pair benchmark, with the votes of the train pairs of similar nodes."""
+    e, nodes = _sites(spark, sf)
+    s = audits.holdout_split(e, "a", "b", "key", "s1")
+    train, test = s.where("split = 'train'"), s.where("split = 'test'")
+    known = nodes.join(train.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+    near = audits.node_neighbours(nodes, known, "node", "text", k=4, top=5, df_cap=0.02)
+    r = audits.pair_audit(test, train, "a", "b", "label", near)
+    return r.select("n_test", *[r6(c).alias(c) for c in ("prevalence", "both_seen", "partner_seen", "near_dup", "auroc_c1", "auroc_c3", "auroc_c3_seq", "inflation")])
+
+
+@query
+def class_audit(spark, sf):
+    """Labels of vectors predicted by their neighbours: accuracy with and without near copies among these."""
+    train, test = _vector_split(spark, sf)
+    n = leakage.vector_knn(test, train, "vec_id", "embedding", 5).join(train.select(F.col("vec_id").alias("neighbour"), "label"), "neighbour")
+    best = n.groupBy("query").agg(F.max("similarity").alias("similarity"))
+    vote = leakage.weighted_vote(n, "query", "label", "similarity").join(best, "query").join(test.select(F.col("vec_id").alias("query"), "label"), "query")
+    x = vote.withColumn("correct", F.coalesce(F.col("predicted") == F.col("label"), F.lit(False))).withColumn("leaked", F.col("similarity") >= 0.35)
+    return audits.class_audit(x).select("n", *[r6(c).alias(c) for c in ("prevalence", "full", "clean", "floor", "explained", "inflation")])
+
+
+@query
+def others_mean(spark, sf):
+    """Leave-one-study-out: every priority's mean price against that of all others."""
+    o = read(spark, sf, "orders").select("o_orderpriority", "o_totalprice")
+    return audits.others_mean(o, "o_orderpriority", "o_totalprice").select("o_orderpriority", "n_test", "n_train", F.round("train_mean", 4).alias("train_mean"), F.round("error", 4).alias("error"))
+
+
+@query
+def shuffle_control(spark, sf):
+    """A correlation before and after one side is permuted."""
+    c = read(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"), (F.col("p_size") * 10 + F.col("p_partkey") % 7).cast("double").alias("y"))
+    mixed = audits.shuffled(c, "y", "p_partkey", "s1")
+    return st.pearson(c, "x", "y").select(r6("r").alias("real")).crossJoin(F.broadcast(st.pearson(mixed, "x", "y").select(r6("r").alias("control"))))  # one row
+
+
+@query
+def bit_knn(spark, sf):
+    """Signs of vectors as bits: every fifth vector, as a stated query set, against all others by Tanimoto."""
+    train, test = (d.select("vec_id", F.transform("embedding", lambda x: (x > 0).cast("double")).alias("bits")) for d in _vector_split(spark, sf))
+    n = leakage.vector_knn(test, train, "vec_id", "bits", 5, measure="tanimoto")
+    return n.select("query", F.col("rank").cast("long").alias("rank"), "neighbour", r6("similarity").alias("similarity"))
+
+
+@query
+def guide_features(spark, sf):
+    """The sums of the 28 features over every 20-base window of every document."""
+    d = _dna(spark, sf).where("length >= 20")
+    cuts = d.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.floor(F.col("length") / 20) - 1), lambda i: F.substring("dna", (i * 20 + 1).cast("int"), F.lit(20)))).alias("guide"))
+    x = cuts.select("doc_id", F.posexplode(guides.features(F.col("guide"))).alias("i", "v"))
+    return x.groupBy("doc_id", "i").agg(F.count(F.lit(1)).alias("guides"), F.round(F.sum("v"), 4).alias("total")).withColumn("feature", F.element_at(F.array(*[F.lit(n) for n in guides.NAMES]), F.col("i") + 1)).drop("i")
+
+
+def _guides(spark, sf):
+    d = _dna(spark, sf).where("length >= 20")
+    cuts = d.select("source", "doc_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.floor(F.col("length") / 20) - 1), lambda i: F.substring("dna", (i * 20 + 1).cast("int"), F.lit(20)))).alias("w", "guide"))
+    key = F.concat_ws("-", F.col("doc_id").cast("string"), F.col("w").cast("string"))
+    return cuts.select(F.col("source").alias("gene"), key.alias("key"), "guide", (S.gc_fraction(F.col("guide")) * 0.8 + _unit(F.lit("g"), key) * 0.2 - 0.2).alias("activity"))
+
+
+@query
+def guide_audit(spark, sf):
+    """A ridge over the named features on sources that it has not seen, and the same with permuted activities."""
+    return guides.evaluate(_guides(spark, sf), "gene", "guide", "activity", "key")
+
+
 # ---- models, loop, repair, geometry ---------------------------------------------------------------------------------
 
 
@@ -574,6 +691,12 @@ def repair_dna(spark, sf):
     return repair.repair_table(d, "item_id", "dna", demanded=("RESTRICTION_SITE",)).drop("repaired")
 
 
+@query
+def repair_antibody(spark, sf):
+    """Every document's residues as a heavy chain, with the chemical hotspots to go as well."""
+    return repair.repair_table(_protein(spark, sf), "doc_id", "aa", demanded=("DEAMIDATION_HOTSPOT_CDR", "ISOMERIZATION_HOTSPOT_CDR"), modality="antibody").drop("repaired")
+
+
 def _points(spark, sf):
     e = read(spark, sf, "embeddings")
     at = lambda i: F.get("embedding", F.lit(i)).cast("double") * 20
@@ -607,6 +730,34 @@ def ligand_gate(spark, sf):
     return v.select("g", r6("overlap_frac").alias("overlap_frac"), r6("min_dist").alias("min_dist"), r6("min_rel").alias("min_rel"), "n_clash", F.array_join("fired", ",").alias("fired"))
 
 
+@query
+def chain_pairs(spark, sf):
+    """All pairs of chains of a complex, elements standing in for chains."""
+    p = _points(spark, sf).withColumn("chain", F.col("element"))
+    return geometry.all_chain_pairs(p).select("g", "pairs", "n_clash", r6("max_overlap").alias("max_overlap"), r6("min_dist").alias("min_dist"))
+
+
+@query
+def primary_pair(spark, sf):
+    return geometry.primary_pair(_points(spark, sf).withColumn("chain", F.col("element")))
+
+
+@query
+def interface_severity(spark, sf):
+    p = _points(spark, sf)
+    f = geometry.interface_features(p.where("atom % 2 = 1"), p.where("atom % 2 = 0"))
+    return f.select("g", r6(gates.complex_severity()).alias("severity"))
+
+
+@query
+def molecule_severity(spark, sf):
+    """Parts as molecules: severity and verdict of the rules on a ready table."""
+    p = read(spark, sf, "part").select("p_partkey", (F.col("p_partkey") % 50 != 0).alias("valid"), (F.col("p_size") / 6.0).alias("sa"), F.col("p_retailprice").alias("mw"), ((F.col("p_partkey") % 100) / 10.0).alias("logp"),
+        (F.col("p_partkey") % 8).alias("hbd"), (F.col("p_partkey") % 13).alias("hba"), (F.col("p_partkey") % 12).alias("rotb"), (F.col("p_partkey") % 160).alias("tpsa"), (F.col("p_partkey") % 3).alias("n_alerts"))
+    v = gates.molecule_rules().evaluate(p.withColumn("severity", gates.molecule_severity()))
+    return v.select("p_partkey", r6("severity").alias("severity"), F.array_join("fired", ",").alias("fired"), "score")
+
+
 @query
 def streaming_flags(spark, sf):
     return readouts.run_available(spark, f"{sf}/events.parquet")

@@ -75,6 +75,11 @@ p AS (SELECT coalesce(label, -1) AS g, vec_id AS atom, (['C', 'N', 'O', 'S'])[(v
              embedding[2]::DOUBLE * 20 AS y, embedding[3]::DOUBLE * 20 AS z FROM embeddings)
 """
 
+_SITES_PAIRS = """
+e AS (SELECT 'p' || l_partkey AS a, 's' || l_suppkey AS b, (max(l_quantity) > 25)::INT AS label FROM lineitem GROUP BY l_partkey, l_suppkey),
+nodes AS (SELECT a AS node FROM e UNION SELECT b FROM e)
+"""
+
 _CELLS = f"""
 c AS (SELECT user_id AS target, count(*) AS k, avg(value) AS m, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY user_id),
 t AS (SELECT target, CASE WHEN errors = 0 THEN round(m / 100, 6) END AS knockdown_resid, {_unit("'p|' || target")} / 2 AS p, k * 3 AS n_cells FROM c),
@@ -286,6 +291,77 @@ SQL = {
         SELECT g, round(min_dist, 6) AS min_dist, n_clash, round(max_overlap, 6) AS max_overlap, round(buried, 6) AS buried_frac,
                array_to_string(list_filter([CASE WHEN n_clash > 0 THEN 'INTERFACE_CLASH' END, CASE WHEN max_overlap > 0.9 THEN 'SEVERE_INTERFACE_CLASH' END,
                CASE WHEN buried > 0.1 THEN 'INTERFACE_VOLUME_OVERLAP' END, CASE WHEN min_dist > 5 THEN 'CHAINS_NOT_IN_CONTACT' END], lambda x: x IS NOT NULL), ',') AS fired FROM v""",
+    "ligand_gate": f"""WITH {_POINTS}, rad(e, r) AS (VALUES ('C', 1.70::DOUBLE), ('N', 1.55::DOUBLE), ('O', 1.52::DOUBLE), ('S', 1.80::DOUBLE)), q AS (SELECT p.*, r FROM p JOIN rad ON e = element),
+        lig AS (SELECT * FROM q WHERE atom % 10 = 0), pro AS (SELECT * FROM q WHERE atom % 10 <> 0),
+        d AS (SELECT a.g, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS dist, a.r + b.r AS rr FROM lig a JOIN pro b USING (g)),
+        m AS (SELECT g, min(dist) AS min_dist, min(dist / rr) FILTER (dist < 5) AS min_rel, count(*) FILTER (dist < 5 AND dist / rr < 0.75) AS n_clash FROM d GROUP BY g),
+        low AS (SELECT g, min(x - r) AS lx, min(y - r) AS ly, min(z - r) AS lz FROM lig GROUP BY g),
+        steps AS (SELECT unnest(range(0, 9)) AS s),
+        own AS (SELECT DISTINCT g, lx + ix * 0.5 AS px, ly + iy * 0.5 AS py, lz + iz * 0.5 AS pz FROM (
+            SELECT g, x, y, z, r, lx, ly, lz, (floor((x - r - lx) / 0.5) + a.s)::BIGINT AS ix, (floor((y - r - ly) / 0.5) + b.s)::BIGINT AS iy, (floor((z - r - lz) / 0.5) + c.s)::BIGINT AS iz
+            FROM lig JOIN low USING (g), steps a, steps b, steps c)
+            WHERE pow(lx + ix * 0.5 - x, 2) + pow(ly + iy * 0.5 - y, 2) + pow(lz + iz * 0.5 - z, 2) <= r * r AND ix >= 0 AND iy >= 0 AND iz >= 0),
+        hit AS (SELECT DISTINCT o.* FROM own o JOIN pro b ON o.g = b.g AND pow(px - b.x, 2) + pow(py - b.y, 2) + pow(pz - b.z, 2) <= b.r * b.r),
+        v AS (SELECT g, (SELECT count(*) FROM hit h WHERE h.g = low.g)::DOUBLE / (SELECT count(*) FROM own o WHERE o.g = low.g) AS overlap_frac FROM low),
+        f AS (SELECT p.g, v.overlap_frac, m.min_dist, m.min_rel, coalesce(m.n_clash, 0) AS n_clash FROM (SELECT DISTINCT g FROM p) p LEFT JOIN v ON v.g = p.g LEFT JOIN m ON m.g = p.g)
+        SELECT g, round(overlap_frac, 6) AS overlap_frac, round(min_dist, 6) AS min_dist, round(min_rel, 6) AS min_rel, n_clash,
+               array_to_string(list_filter([CASE WHEN min_dist IS NOT NULL AND min_rel < 0.75 THEN 'LIGAND_PROTEIN_CLASH' END, CASE WHEN min_dist IS NOT NULL AND overlap_frac > 0.075 THEN 'LIGAND_PROTEIN_VOLUME_OVERLAP' END,
+               CASE WHEN min_dist > 5 THEN 'LIGAND_OUT_OF_POCKET' END, CASE WHEN min_dist IS NULL THEN 'NOT_FRAMED' END], lambda x: x IS NOT NULL), ',') AS fired FROM f""",
+    "chain_pairs": f"""WITH {_POINTS}, rad(e, r) AS (VALUES ('C', 1.75::DOUBLE), ('N', 1.55::DOUBLE), ('O', 1.40::DOUBLE), ('S', 1.80::DOUBLE)), q AS (SELECT p.*, r FROM p JOIN rad ON e = element),
+        d AS (SELECT a.g, a.element AS ca, b.element AS cb, a.r + b.r AS rr, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) AS dist FROM q a JOIN q b ON a.g = b.g AND a.element < b.element)
+        SELECT g, count(DISTINCT ca || cb) AS pairs, count(*) FILTER (rr - dist > 0.4) AS n_clash, round(greatest(max(rr - dist), 0), 6)::DOUBLE AS max_overlap, round(min(dist), 6) AS min_dist
+        FROM d WHERE dist < 5 GROUP BY g""",
+    "primary_pair": f"""WITH {_POINTS}, n AS (SELECT g, element AS chain, row_number() OVER (PARTITION BY g ORDER BY count(*) DESC, element) AS place FROM p GROUP BY g, element),
+        q AS (SELECT p.*, place FROM p JOIN n ON p.g = n.g AND p.element = n.chain WHERE place <= 4),
+        c AS (SELECT a.g, a.element AS chain_a, b.element AS chain_b, a.place AS pa, b.place AS pb, count(DISTINCT a.atom) AS contacts FROM q a JOIN q b ON a.g = b.g AND a.place < b.place
+              WHERE sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)) < 6 GROUP BY ALL)
+        SELECT g, chain_a, chain_b, contacts FROM c QUALIFY row_number() OVER (PARTITION BY g ORDER BY contacts DESC, pa, pb) = 1""",
+    "interface_severity": f"""WITH {_POINTS}, rad(e, r) AS (VALUES ('C', 1.75::DOUBLE), ('N', 1.55::DOUBLE), ('O', 1.40::DOUBLE), ('S', 1.80::DOUBLE)), q AS (SELECT p.*, r FROM p JOIN rad ON e = element),
+        d AS (SELECT a.g, a.atom AS a, b.atom AS b, a.r AS ra, b.r AS rb, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS dist, a.element = 'S' AND b.element = 'S' AS ss
+              FROM q a JOIN q b ON a.g = b.g AND a.atom % 2 = 1 AND b.atom % 2 = 0),
+        m AS (SELECT g, min(dist) AS min_dist, greatest(coalesce(max(ra + rb - dist) FILTER (NOT (ss AND dist < 2.5) AND dist < 5), 0), 0)::DOUBLE AS depth,
+                     count(DISTINCT a) FILTER (dist < rb) AS in_a, count(DISTINCT b) FILTER (dist < ra) AS in_b, count(DISTINCT a) AS na, count(DISTINCT b) AS nb FROM d GROUP BY g),
+        v AS (SELECT *, CASE WHEN na <= nb THEN in_a / na::DOUBLE ELSE in_b / nb::DOUBLE END AS buried FROM m)
+        SELECT g, round(greatest(depth / 0.9::DOUBLE - 1, 0) + greatest(buried / 0.1::DOUBLE - 1, 0) + greatest(min_dist / 5.0::DOUBLE - 1, 0), 6)::DOUBLE AS severity FROM v""",
+    "molecule_severity": """WITH m AS (SELECT p_partkey, p_partkey % 50 <> 0 AS valid, p_size / 6.0::DOUBLE AS sa, p_retailprice AS mw, (p_partkey % 100) / 10.0::DOUBLE AS logp, p_partkey % 8 AS hbd,
+            p_partkey % 13 AS hba, p_partkey % 12 AS rotb, p_partkey % 160 AS tpsa, p_partkey % 3 AS alerts FROM part),
+        f AS (SELECT *, sa > 6 AS r2, mw > 900 OR logp > 7 AS r3, alerts > 0 AS r4, (mw > 500)::INT + (logp > 5)::INT + (hbd > 5)::INT + (hba > 10)::INT >= 2 AS r5, rotb > 10 OR tpsa > 140 AS r6 FROM m)
+        SELECT p_partkey, CASE WHEN NOT valid THEN 10::DOUBLE ELSE round(greatest(sa / 6 - 1, 0) + greatest(mw / 900 - 1, 0) + greatest(logp / 7 - 1, 0), 6)::DOUBLE END AS severity,
+               CASE WHEN NOT valid THEN 'INVALID_MOLECULE' ELSE array_to_string(list_filter([CASE WHEN r2 THEN 'UNSYNTHESIZABLE' END, CASE WHEN r3 THEN 'EXTREME_PROPERTY' END, CASE WHEN r4 THEN 'STRUCTURAL_ALERT' END,
+               CASE WHEN r5 THEN 'LIPINSKI_RO5' END, CASE WHEN r6 THEN 'VEBER' END], lambda x: x IS NOT NULL), ',') END AS fired,
+               CASE WHEN NOT valid THEN 2::DOUBLE ELSE (1.5 * r2::INT + 1.5 * r3::INT)::DOUBLE END AS score FROM f""",
+    "node_disjoint_split": f"""WITH {_SITES_PAIRS}, h AS (SELECT node, row_number() OVER (ORDER BY md5('s1|' || node), node) AS i, count(*) OVER () AS n FROM nodes),
+        t AS (SELECT node FROM h WHERE i <= greatest(1, floor(n * sqrt(0.2::DOUBLE)))), m AS (SELECT e.*, a IN (SELECT node FROM t) AS fa, b IN (SELECT node FROM t) AS fb FROM e)
+        SELECT CASE WHEN fa THEN 'test' ELSE 'train' END AS split, count(*) AS pairs, sum(label)::BIGINT AS positive FROM m WHERE fa = fb GROUP BY 1""",
+    "holdout_split": f"""WITH {_SITES_PAIRS}, h AS (SELECT node, row_number() OVER (ORDER BY md5('s1-nodes|' || node), node) AS i, count(*) OVER () AS n FROM nodes),
+        t AS (SELECT node FROM h WHERE i <= greatest(1, floor(n * 0.3::DOUBLE))), m AS (SELECT e.*, a IN (SELECT node FROM t) OR b IN (SELECT node FROM t) AS novel FROM e),
+        s AS (SELECT a, b, row_number() OVER (ORDER BY md5('s1-pairs|' || a || '|' || b), a || '|' || b) AS i, count(*) OVER () AS n FROM m WHERE NOT novel),
+        f AS (SELECT a, b FROM s WHERE i <= floor(n * 0.8::DOUBLE))
+        SELECT CASE WHEN f.a IS NULL THEN 'test' ELSE 'train' END AS split, count(*) AS pairs, sum(label)::BIGINT AS positive FROM m LEFT JOIN f ON m.a = f.a AND m.b = f.b GROUP BY 1""",
+    "class_audit": f"""WITH {_VEC}, w AS (SELECT query, any_value(q_label) AS label, n_label, sum(similarity) AS w FROM knn GROUP BY query, n_label),
+        v AS (SELECT query, label, n_label AS predicted FROM w QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(w, 9) DESC, n_label NULLS FIRST) = 1),
+        x AS (SELECT v.query, label, coalesce(predicted = label, false) AS hit, top.s AS s FROM v JOIN (SELECT query, max(similarity) AS s FROM knn GROUP BY query) top USING (query)),
+        r AS (SELECT *, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0::DOUBLE AS rk FROM x),
+        a AS (SELECT count(*) AS n, avg((s >= 0.35)::INT) AS prevalence, avg(hit::INT) AS full_, coalesce(avg(hit::INT) FILTER (s < 0.35), 0) AS clean,
+                     count(*) FILTER (hit)::DOUBLE AS np, count(*) FILTER (NOT hit)::DOUBLE AS nn, sum(rk) FILTER (hit) AS rs FROM r),
+        f AS (SELECT max(c) / sum(c)::DOUBLE AS floor FROM (SELECT count(*) AS c FROM x GROUP BY label))
+        SELECT n, round(prevalence, 6) AS prevalence, round(full_, 6) AS "full", round(clean, 6) AS clean, round(floor, 6) AS floor,
+               CASE WHEN np > 0 AND nn > 0 THEN round((rs - np * (np + 1) / 2) / (np * nn), 6) END AS explained, round(full_ - clean, 6) AS inflation FROM a, f""",
+    "others_mean": """WITH s AS (SELECT o_orderpriority, count(*) AS n_test, sum(o_totalprice) AS t, avg(o_totalprice) AS m FROM orders GROUP BY 1), w AS (SELECT sum(n_test) AS n, sum(t) AS t FROM s)
+        SELECT o_orderpriority, n_test, (w.n - n_test)::BIGINT AS n_train, round((w.t - s.t) / (w.n - n_test), 4) AS train_mean, round(abs(m - (w.t - s.t) / (w.n - n_test)), 4) AS error FROM s, w""",
+    "shuffle_control": """WITH c AS (SELECT p_partkey, p_size::DOUBLE AS x, (p_size * 10 + p_partkey % 7)::DOUBLE AS y FROM part),
+        f AS (SELECT x, row_number() OVER (ORDER BY md5('s1-from|' || p_partkey), p_partkey) AS i FROM c), t AS (SELECT y, row_number() OVER (ORDER BY md5('s1-to|' || p_partkey), p_partkey) AS i FROM c)
+        SELECT (SELECT round(corr(x, y), 6) FROM c) AS real, (SELECT round(corr(x, y), 6) FROM f JOIN t USING (i)) AS control""",
+    "bit_knn": """WITH b AS (SELECT vec_id, list_filter(range(1, len(embedding) + 1), lambda i: embedding[i] > 0) AS bits FROM embeddings),
+        s AS (SELECT q.vec_id AS query, t.vec_id AS neighbour, len(list_intersect(q.bits, t.bits)) AS common, len(q.bits) AS nq, len(t.bits) AS nt FROM b q, b t WHERE q.vec_id % 5 = 0 AND t.vec_id % 5 <> 0),
+        v AS (SELECT query, neighbour, round(common / greatest(nq + nt - common, 1)::DOUBLE, 9) AS s FROM s)
+        SELECT query, row_number() OVER (PARTITION BY query ORDER BY s DESC, neighbour) AS rank, neighbour, round(s, 6) AS similarity FROM v QUALIFY rank <= 5""",
+    "screen_baseline_gate": f"""WITH {_COUNTS}, m AS (SELECT gene, avg(lfc) AS lfc, avg(-lfc) AS score, gene % 7 = 0 AS truth FROM x WHERE gene % 7 IN (0, 1) GROUP BY gene),
+        r AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS rk, row_number() OVER (ORDER BY score DESC, gene) AS i,
+                     sum(truth::INT) OVER (ORDER BY score DESC, gene ROWS UNBOUNDED PRECEDING) AS hits FROM m),
+        a AS (SELECT count(*) FILTER (truth)::DOUBLE AS np, count(*) FILTER (NOT truth)::DOUBLE AS nn, sum(rk) FILTER (truth) AS rs, avg(hits / i::DOUBLE) FILTER (truth) AS ap,
+                     median(lfc) FILTER (truth) AS me, median(lfc) FILTER (NOT truth) AS mn FROM r)
+        SELECT round((rs - np * (np + 1) / 2) / (np * nn), 6) AS auroc, round(ap, 6) AS ap, round(me, 6) AS median_essential, round(mn, 6) AS median_nonessential FROM a""",
     "streaming_flags": """WITH r AS (SELECT date_trunc('day', ts) AS w, event_type <> 'error' AS built, value, user_id % 17 <> 0 AS ok FROM events)
         SELECT w::TIMESTAMP AS window_start, count(*) AS n, count(*) FILTER (NOT built OR abs(value - 50) / 100 > 0.3 OR value / 10 < 0.05 OR value / 10 > 10 OR NOT ok) AS flagged FROM r GROUP BY 1""",
     "orders_of_segment_semi": "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY 1",

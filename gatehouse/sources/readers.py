@@ -249,3 +249,77 @@ def workbook(spark: SparkSession, path: str, sheet: int = 1) -> DataFrame:
                 yield pd.DataFrame(out, columns=["file", "row", "cells"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(rows, "file string, row int, cells map<string,string>")
+
+
+def gene_list(spark: SparkSession, path: str) -> DataFrame:
+    """``gene``: the first column of a table with a header, upper case; blank names are skipped."""
+    header = spark.read.text(path).first()
+    if header is None:
+        raise SourceError(f"empty table: {path}")
+    first = spark.read.csv(path, header=True, sep="\t" if "\t" in header[0] else ",")
+    name = F.upper(F.trim(F.col(f"`{first.columns[0]}`")))
+    return first.select(name.alias("gene")).where(F.coalesce(F.col("gene"), F.lit("")) != "").distinct()
+
+
+def reference_genes(spark: SparkSession, path: str, assayed: DataFrame) -> DataFrame:
+    """The genes of a list that the screen holds."""
+    return gene_list(spark, path).join(assayed.select("gene").distinct(), "gene", "left_semi")
+
+
+def pairs(spark: SparkSession, positive: str, negative: str, dictionary: str) -> DataFrame:
+    """``a, b, label, a_seq, b_seq`` from two tables of id pairs and one of ids and sequences, tab-separated without headers.
+
+    Pairs of which an end has no sequence go; of an id with several sequences the smallest is taken.
+    """
+    table = lambda path, names: spark.read.csv(path, sep="\t").toDF(*names)
+    both = table(positive, ["a", "b"]).withColumn("label", F.lit(1)).unionByName(table(negative, ["a", "b"]).withColumn("label", F.lit(0)))
+    known = table(dictionary, ["id", "seq"]).groupBy("id").agg(F.min(F.upper(F.trim("seq"))).alias("seq")).where("seq <> ''")
+    for end in "ab":
+        both = both.join(known.toDF(f"_{end}", f"{end}_seq"), F.trim(end) == F.col(f"_{end}")).drop(f"_{end}")
+    return both.select("a", "b", "label", "a_seq", "b_seq")
+
+
+def sequence_values(spark: SparkSession, path: str, seq: str, value: str, study: str | None = None) -> DataFrame:
+    """``seq, value, study`` of a table with a header; rows whose value is no finite number or whose sequence is no DNA go."""
+    header = spark.read.text(path).first()
+    if header is None:
+        raise SourceError(f"empty table: {path}")
+    raw = spark.read.csv(path, header=True, sep="\t" if "\t" in header[0] else ",")
+    for needed in filter(None, (seq, value, study)):
+        if needed not in raw.columns:
+            raise SourceError(f"no column {needed} in {path}")
+    number = F.trim(F.col(f"`{value}`")).try_cast("double")
+    rows = raw.select(F.upper(F.regexp_replace(F.col(f"`{seq}`"), r"\s", "")).alias("seq"), number.alias("value"), (F.col(f"`{study}`") if study else F.lit(None).cast("string")).alias("study"))
+    return rows.where(F.col("seq").rlike("^[ACGT]+$") & F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf")))
+
+
+def deepest(df: DataFrame, depth: str, key: str, n: int) -> DataFrame:
+    """The ``n`` rows of the greatest depth, ties by key."""
+    return df.orderBy(F.desc_nulls_last(depth), key).limit(n)
+
+
+def oriented(df: DataFrame, label: str, scores: list[str], least: int = 10) -> DataFrame:
+    """``df`` with ``label`` turned round if most scores fall as it rises; scores with fewer than ``least`` rows do not vote."""
+    votes = [F.when(F.count(F.when(F.col(label).isNotNull(), F.col(s))) >= least, F.signum(F.covar_pop(s, label))).otherwise(0.0) for s in scores]
+    sign = df.agg(F.when(sum(votes[1:], votes[0]) < 0, -1.0).otherwise(1.0).alias("_sign"))
+    return df.crossJoin(F.broadcast(sign)).withColumn(label, F.col(label) * F.col("_sign")).drop("_sign")  # one row
+
+
+def clash_list(spark: SparkSession, path: str) -> DataFrame:
+    """``file, cid, a, b``: clashes of a validation report (XML) of which both ends are named as ``chain:resnum:resname:atom``."""
+    from gatehouse.operators.geometry import clash_ends
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xml.etree import ElementTree
+
+        for batch in batches:
+            out = []
+            for name, text in zip(batch["file"], batch["value"], strict=True):
+                for group in ElementTree.fromstring(text).iter("ModelledSubgroup"):
+                    head = ":".join(group.get(k, "") for k in ("chain", "resnum", "resname"))
+                    out += [(name, c.get("cid"), f"{head}:{c.get('atom', '')}") for c in group.iter("clash")]
+            yield pd.DataFrame(out, columns=["file", "c", "end"])
+
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
+    ends = whole.mapInPandas(rows, "file string, c string, end string").withColumn("cid", F.struct("file", "c"))
+    return clash_ends(ends.select("cid", "end")).select("cid.file", F.col("cid.c").alias("cid"), "a", "b")
