@@ -10,7 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from gatehouse.operators import screens
+from gatehouse.operators import audits, screens
 from gatehouse.operators.repair import AGENTS, repair, trajectory
 from gatehouse.plans import registry
 from gatehouse.sources import readers
@@ -32,8 +32,11 @@ def _parser() -> argparse.ArgumentParser:
     r.add_argument("--clear", action="append", default=[])
     r.add_argument("--json", action="store_true")
     a = sub.add_parser("audit")
-    a.add_argument("what", choices=["screen", "single-cell"])
-    a.add_argument("--input", required=True)
+    a.add_argument("what", choices=["screen", "single-cell", "leakage"])
+    a.add_argument("--input", required=True, help="a count table, a screen summary, or for leakage a table of pairs or of classified texts")
+    a.add_argument("--benchmark", choices=["pairs", "classes"], default="pairs", help="leakage: columns a, b, label, a_seq, b_seq, or id, text, label")
+    a.add_argument("--seeds", type=int, default=1)
+    a.add_argument("--json", action="store_true")
     sub.add_parser("list")
     return top
 
@@ -41,7 +44,7 @@ def _parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = _parser().parse_args(argv)
     if args.command == "list":
-        print("\n".join([*registry.modalities(), "audit: screen, single-cell"]))
+        print("\n".join([*(f"{g.modality}: {' '.join(g.extensions)}" for g in registry.GATES.values()), "audit: screen, single-cell, leakage"]))
         return 0
     if args.command == "repair":
         done, reason, steps = repair(args.sequence.upper(), *AGENTS[args.modality], args.rounds, tuple(args.clear))
@@ -60,6 +63,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 for reason in result.batch.first()["reasons"]:
                     print(json.dumps({"set": reason.asDict()}) if args.json else f"SET {reason['contract']}")
             return int(not result.verdict().first()["ok"])
+        if args.what == "leakage":
+            header = spark.read.text(args.input).first()
+            if header is None:
+                raise readers.SourceError(f"empty table: {args.input}")
+            table = spark.read.csv(args.input, header=True, sep="\t" if "\t" in header[0] else ",")
+            needed = ["a", "b", "label", "a_seq", "b_seq"] if args.benchmark == "pairs" else ["id", "text", "label"]
+            if missing := [c for c in needed if c not in table.columns]:
+                raise readers.SourceError(f"no column {', '.join(missing)} in {args.input}")
+            report = audits.leakage_report(table, args.benchmark, args.seeds).first().asDict()
+            print(json.dumps(report) if args.json else "\n".join(f"{k}: {v}" for k, v in report.items()))
+            return 0
         if args.what == "single-cell":
             print(screens.single_cell_audit(readers.user_screen(spark, args.input).where("not is_control")).toJSON().first())
             return 0
