@@ -84,3 +84,17 @@ def test_weights_repeated_rows_and_empty_table(spark):
     mixed = mixing.mix_sources(docs)
     assert mixing.repeat_rows(mixed, ["doc_id"]).count() == sum(r.copies for r in mixed.collect())
     assert mixing.mix_sources(docs.limit(0)).collect() == []
+
+
+def test_joins_that_are_not_broadcast_give_the_same(spark, monkeypatch):
+    """Above its row limit a table of sources is joined as Spark sees fit."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    here = sorted(map(tuple, mixing.mix_sources(docs).select("doc_id", "size", "target", "taken").collect()))
+    monkeypatch.setattr(mixing, "small", lambda df, max_rows=0: df.hint("merge"))
+    assert sorted(map(tuple, mixing.mix_sources(docs).select("doc_id", "size", "target", "taken").collect())) == here
+
+
+def test_a_very_long_text(spark):
+    docs = spark.createDataFrame([(1, "word " * 300_000, "a"), (2, "one two", "a"), (3, "three", "b")], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in mixing.mix_sources(docs).collect()}
+    assert got[1].size == 300_000 and all(r.taken % r.size == 0 and r.taken <= 3 * r.size for r in got.values())

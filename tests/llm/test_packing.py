@@ -6,7 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from gatehouse.llm import packing, tokens
+from gatehouse.llm import packing, queries, tokens
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -100,3 +100,26 @@ def test_round_trip(spark):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).collect() == []
+
+
+def test_query_against_the_plain_library(spark):
+    sf = "/root/testdata/sf0.001"
+    plain = Tokenizer.from_file(PATH)
+    ids = {r.doc_id: [*plain.encode(r.text or "", add_special_tokens=False).ids, 1] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op3_packing(spark, sf)
+    assert got.columns[:7] == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    rows = got.collect()
+    covered, packs = defaultdict(int), defaultdict(list)
+    for r in rows:
+        piece = ids[r.doc_id][r.start : r.start + r.length]
+        assert len(piece) == r.length and r.ids_crc32 == zlib.crc32(np.array(piece, "<u4").tobytes()) and r.doc_tokens == len(ids[r.doc_id])
+        covered[r.doc_id] += r.length
+        packs[r.sequence_id].append((r.offset, r.length))
+    assert covered == {i: len(x) for i, x in ids.items()}
+    for slots in packs.values():
+        ends = [0]
+        for offset, length in sorted(slots):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+        assert ends[-1] <= 2048
+    assert len(packs) <= 1.05 * sum(covered.values()) / 2048 + 1

@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import xxhash
 
-from gatehouse.llm import simhash
+from gatehouse.llm import queries, simhash
 from gatehouse.llm.components import chained, components
 from gatehouse.llm._scratch import Scratch
 
@@ -193,3 +193,20 @@ def test_chains_join_what_the_edges_join(spark):
     assert thin.count() < 420
     scratch = Scratch(spark, "test")
     assert {tuple(r) for r in components(thin, scratch).collect()} == {tuple(r) for r in components(df, scratch).collect()}
+
+
+def test_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    prints = [(r.doc_id, plain_fingerprint(r.text)) for r in docs]
+    want = plain_components(prints)
+    got = queries.op8_simhash(spark, sf)
+    assert got.columns[:3] == ["doc_id", "fingerprint", "component_id"]
+    assert {(r.doc_id, r.fingerprint, r.component_id) for r in got.collect()} == {(i, f"{p:016x}", want[i]) for i, p in prints}
+
+
+def test_a_very_long_text_among_short_ones(spark):
+    text = " ".join(f"w{i * i % 7919}" for i in range(200_000))
+    docs = spark.createDataFrame([(1, text), (2, text + " end"), (3, "short")], "doc_id long, text string")
+    got = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
+    assert got[1].fingerprint == f"{plain_fingerprint(text):016x}" and got[2].component_id == 1 and got[3].component_id == 3

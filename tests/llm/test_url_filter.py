@@ -43,3 +43,10 @@ def test_table(spark):
     assert url_filter.filter_urls(pages.limit(0), queries.RULES).collect() == []
     with pytest.raises(ValueError):
         HostPathTrie([Rule("drop", "a")])
+
+
+def test_rules_without_a_host_and_urls_without_one(spark):
+    rules = [Rule("block", "com", "/"), Rule("allow", "a.com", "/x")]
+    pages = spark.createDataFrame([(1, ":///x"), (2, "://"), (3, "no scheme"), (4, "://a.com"), (5, "://b.a.com/x?y")], "page_id long, url string")
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in url_filter.filter_urls(pages, rules).collect()}
+    assert got == {1: ("", "/x", None, "allow"), 2: ("", "", None, "allow"), 3: ("", "", None, "allow"), 4: ("a.com", "", None, "allow"), 5: ("b.a.com", "/x", "a.com/x", "allow")}

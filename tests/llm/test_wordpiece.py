@@ -2,7 +2,7 @@ import random
 
 import public_tokenizers
 
-from gatehouse.llm import wordpiece
+from gatehouse.llm import queries, wordpiece
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -42,3 +42,14 @@ def test_table(spark):
         assert r.n_words == len(words)
         assert r.n_tokens == sum(greedy(w, first, later) if len(w) < 1000 else wordpiece.counter(PATH).length(w) for w in words)
     assert wordpiece.count_tokens(docs.limit(0), PATH).collect() == []
+
+
+def test_query_against_greedy(spark):
+    first, later = wordpiece.load_vocabulary(PATH)
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op7_token_counts(spark, sf)
+    assert got.columns == ["doc_id", "n_words", "n_tokens"] and got.count() == len(texts)
+    for r in got.collect():
+        words = (texts[r.doc_id] or "").encode().split()
+        assert (r.n_words, r.n_tokens) == (len(words), sum(greedy(w, first, later) for w in words))
