@@ -33,6 +33,17 @@ def _unit(expression: str) -> str:
     return f"(('0x' || substr(md5({expression}), 1, 13))::BIGINT::DOUBLE / 4503599627370496::DOUBLE)"
 
 
+# hairpins: complementary pairs of one sum form islands; a stem runs outwards from an innermost pair whose loop is allowed
+_STEMS = f"""
+d AS (SELECT item_id, {_AS_DNA} AS dna FROM benchmark),
+c AS (SELECT item_id, i, substr(dna, i + 1, 1) AS ch FROM (SELECT item_id, dna, unnest(range(0, length(dna))) AS i FROM d)),
+pairs AS (SELECT a.item_id, a.i AS l, b.i AS r FROM c a JOIN c b ON a.item_id = b.item_id AND b.i - a.i > 3 AND b.ch = translate(a.ch, 'ACGT', 'TGCA')),
+island AS (SELECT *, l - row_number() OVER (PARTITION BY item_id, l + r ORDER BY l) AS island FROM pairs),
+runs AS (SELECT item_id, l, r, row_number() OVER (PARTITION BY item_id, l + r, island ORDER BY l) AS stem FROM island),
+stems AS (SELECT item_id, stem, r - l - 1 AS loop, l - stem + 1 AS "start", r + stem AS "end" FROM runs WHERE r - l - 1 <= 30
+          QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY stem DESC, l, r - l) = 1)
+"""
+
 _COUNTS = """
 l AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || floor(l_extendedprice * 100)::BIGINT AS guide, l_partkey AS gene, floor(l_quantity * 10)::BIGINT AS q,
              floor(l_extendedprice / 150)::BIGINT AS p FROM lineitem),
@@ -125,6 +136,27 @@ SQL = {
               FROM s WHERE i + 12 + spacer <= length(dna)),
         best AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY h35 + h10, i, spacer) AS nth FROM h QUALIFY nth = 1)
         SELECT d.item_id, h35::INT AS h35, i::INT AS i35, h10::INT AS h10, j::INT AS i10, spacer::INT AS spacer FROM d LEFT JOIN best ON d.item_id = best.item_id""",
+    "hairpin_flag": f"""WITH {_STEMS} SELECT d.item_id, coalesce(stem, 0)::INT AS stem, coalesce(loop, 0)::INT AS loop, coalesce("start", 0)::INT AS "start", coalesce("end", 0)::INT AS "end"
+        FROM d LEFT JOIN stems ON d.item_id = stems.item_id""",
+    "dna_full_gate": f"""WITH {_STEMS}, f AS (SELECT d.item_id, dna, length(dna) AS n, {_gc("dna")} AS gc, {_runs("dna", "A+|C+|G+|T+")} AS max_run, {_runs("dna", "G+")} AS max_g, coalesce(stem, 0) AS stem
+            FROM d LEFT JOIN stems ON d.item_id = stems.item_id),
+        v AS (SELECT *, NOT (gc BETWEEN 0.25 AND 0.65) AS r1, max_run > 8 AS r2, NOT (n BETWEEN 18 AND 3000) AS r3, stem >= 12 AS r4, max_g > 3 AS r5,
+                     regexp_matches(dna, '{"|".join(p for _, p in S.site_patterns())}') AS r6 FROM f)
+        SELECT item_id, array_to_string(list_filter([CASE WHEN r1 THEN 'GC_OUT_OF_BAND' END, CASE WHEN r2 THEN 'HOMOPOLYMER_RUN' END, CASE WHEN r3 THEN 'LENGTH_OUT_OF_RANGE' END,
+               CASE WHEN r4 THEN 'STRONG_HAIRPIN' END, CASE WHEN r5 THEN 'POLY_G_RUN' END, CASE WHEN r6 THEN 'RESTRICTION_SITE' END], lambda x: x IS NOT NULL), ',') AS fired,
+               (1.5 * r1::INT + 1.5 * r2::INT + r3::INT + r4::INT)::DOUBLE AS score, NOT (r1 OR r2 OR r3 OR r4) AS ok,
+               round(greatest(gc / 0.65 - 1, 0) + greatest(0.25 / greatest(gc, 1e-6) - 1, 0) + greatest(max_run / 8.0::DOUBLE - 1, 0) + greatest(n / 3000.0::DOUBLE - 1, 0)
+                     + greatest(18.0::DOUBLE / greatest(n, 1) - 1, 0) + greatest(stem / 12.0::DOUBLE - 1, 0), 6)::DOUBLE AS severity FROM v""",
+    "promoter_gate": f"""WITH {_FEATURES}, motifs(m) AS (VALUES {_FORBIDDEN}), pool AS (SELECT * FROM e WHERE source = 'src0'),
+        top AS (SELECT coalesce(max(max_run), 8) AS ref FROM pool), rare AS (SELECT m FROM motifs WHERE coalesce((SELECT avg(contains(dna, m)::INT) FROM pool), 0) < 0.02),
+        hit AS (SELECT DISTINCT doc_id FROM e, rare WHERE contains(dna, m)),
+        i AS (SELECT doc_id, dna, unnest(range(0, length(dna) - 23)) AS i FROM d), s AS (SELECT *, unnest(range(12, 23)) AS spacer FROM i),
+        h AS (SELECT doc_id, i, spacer, hamming(substr(dna, i + 1, 6), 'TTGACA') AS h35, hamming(substr(dna, i + 7 + spacer, 6), 'TATAAT') AS h10 FROM s WHERE i + 12 + spacer <= length(dna)),
+        best AS (SELECT doc_id, min(struct_pack(total := h35 + h10, i := i, spacer := spacer, h35 := h35, h10 := h10)) AS b FROM h GROUP BY doc_id),
+        told AS (SELECT e.doc_id, lang, (b IS NULL OR b.h35 > 2)::INT AS c1, (b IS NULL OR b.h10 > 2)::INT AS c2, coalesce(b.h35 <= 2 AND b.h10 <= 2 AND NOT (b.spacer BETWEEN 15 AND 19), false)::INT AS c3,
+                     (NOT (gc BETWEEN 0.30 AND 0.70))::INT AS c4, (max_run > ref)::INT AS c5, (hit.doc_id IS NOT NULL)::INT AS c6
+              FROM e CROSS JOIN top LEFT JOIN best ON best.doc_id = e.doc_id LEFT JOIN hit ON hit.doc_id = e.doc_id)
+        SELECT lang, count(*) AS n, count(*) FILTER (c1 + c2 + c3 + c4 + c5 + c6 = 0) AS passed, sum(c1 + c2 + c3 + c4 + c5 + c6)::DOUBLE AS score FROM told GROUP BY lang""",
     "kmer_freqs": f"""WITH {_FEATURES}, w AS (
         SELECT doc_id, 1 AS k, unnest(list_transform(range(1, n + 1), lambda i: substr(dna, i, 1))) AS kmer FROM f WHERE n >= 2
         UNION ALL SELECT doc_id, 2, unnest(list_transform(range(1, n), lambda i: substr(dna, i, 2))) FROM f WHERE n >= 2),
