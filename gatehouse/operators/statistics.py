@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gatehouse.sources.scratch import held
+from gatehouse.sources.scratch import held, narrow
 
 #: Rows of a range, and the most ranges there are.
 RANGE_ROWS, MAX_RANGES = 200_000, 20_000
@@ -107,7 +107,7 @@ def benjamini_hochberg(df: DataFrame, p: str, key: str) -> DataFrame:
     """``df`` with ``q``: the least of p·n/rank over this and all later ranks, at most 1; ties by ``key``."""
     df = held(df)
     n = df.agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_total(df.withColumn("_one", F.lit(1)), p, "_one", ties=[key]).crossJoin(F.broadcast(n))  # one row
+    ranked = running_total(narrow(df, df.withColumn("_one", F.lit(1))), p, "_one", ties=[key]).crossJoin(F.broadcast(n))  # one row
     ranked = ranged(ranked.withColumn("_raw", F.col(p) * F.col("_n") / (F.col("before") + 1)), F.asc(p), F.asc(key))
     later = ranked.groupBy("_range").agg(F.min("_raw").alias("_low"))
     after = F.min("_low").over(W.orderBy(F.desc("_range")).rowsBetween(W.unboundedPreceding, -1))
@@ -141,7 +141,7 @@ def median(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "med")
 
 def median_mad(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
     """Per group ``med`` and ``mad``, the median distance from it."""
-    df = held(df.select(*by, value))
+    df = held(narrow(df, df.select(*by, value)))
     centre = held(median(df, value, by))
     joined = df.join(centre, list(by)) if by else df.crossJoin(F.broadcast(centre))  # one row
     far = median(joined.withColumn("_far", F.abs(F.col(value) - F.col("med"))), "_far", by, "mad")
@@ -151,13 +151,13 @@ def median_mad(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
 def equal_bins(df: DataFrame, order: str, ties: Sequence[str], bins: int) -> DataFrame:
     """``df`` with ``bin``: bin b holds the rows [b·n//bins, (b+1)·n//bins) of the order."""
     total = df.agg(F.count(F.lit(1)).alias("_n"))
-    placed = running_total(df.withColumn("_one", F.lit(1)), order, "_one", ties=ties).crossJoin(F.broadcast(total))
+    placed = running_total(narrow(df, df.withColumn("_one", F.lit(1))), order, "_one", ties=ties).crossJoin(F.broadcast(total))
     return placed.withColumn("bin", F.floor(((F.col("before") + 1) * bins - 1) / F.col("_n"))).drop("_one", "before", "_n")
 
 
 def spread_trend(df: DataFrame, mean: str, value: str, key: str, bins: int = 30) -> DataFrame:
     """Per bin of equal count along ``mean``: ``bin, centre, spread`` (1.4826·MAD, 1e-9 if that is 0)."""
-    binned = equal_bins(df, mean, [value, key], bins)
+    binned = held(equal_bins(df, mean, [value, key], bins))
     spread = median_mad(binned, value, ["bin"])
     centres = binned.groupBy("bin").agg(F.avg(mean).alias("centre"))
     width = F.when(F.col("mad") == 0, 1e-9).otherwise(1.4826 * F.col("mad"))

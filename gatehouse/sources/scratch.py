@@ -38,3 +38,9 @@ def held(df: DataFrame) -> DataFrame:
     table = spark.read.schema(df.schema).parquet(path)
     table._gatehouse_held = True
     return table
+
+
+def narrow(source: DataFrame, df: DataFrame) -> DataFrame:
+    """``df``, a projection of ``source``: as cheap to read again as that one, so it counts as held if ``source`` does."""
+    df._gatehouse_held = getattr(source, "_gatehouse_held", False)
+    return df
