@@ -49,12 +49,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text"), passage_words=50)
     # cuts lie between bytes, so the text shown may hold replacement characters where a character was cut
     text = F.make_valid_utf8(F.col("kept").cast("string")).alias("kept_text")
     return cut.select(
         "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
-        (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), text,
+        (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"), text, "shared_passage",
     )
 
 

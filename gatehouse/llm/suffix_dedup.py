@@ -21,15 +21,22 @@ Rows travel as one per anchor (about two per ``width`` bytes) in the first passe
 document key only to read the third and fourth digits and to cut the result.  No group is gathered: groups are
 counted with map-side combine and joined back.
 
+With ``passage_words`` set, the same passes over suffixes of words mark the texts that share a passage of more words
+than that with another row, however few bytes it has; nothing more is removed.  Words are runs of bytes other than
+ASCII white space, which itself does not count, and enter as 64-bit hashes.  A text is marked at the first passage
+found, so there is no pass over blocks: texts of which no whole stretch repeats go on to the single windows, with all
+other stretches of their grams.
+
 Edge cases: a null text counts as empty and is returned as empty; texts under ``width`` bytes never lose a byte;
-repeated rows repeat each other (both are cut, as strings are judged on the input); windows that overlap count as
-starting elsewhere; an empty table gives an empty result; extra columns pass through, except those named like a
+repeated rows repeat each other (both are cut, as strings are judged on the input, and both are marked); windows that
+overlap count as starting elsewhere, but a passage that only repeats within its own text does not mark it; an empty table gives an empty result; extra columns pass through, except those named like a
 result column, which are replaced.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +49,8 @@ from gatehouse.llm._scratch import Scratch, row_key
 
 _ADDED = ("kept", "n_bytes", "n_removed", "spans")
 _FLUSH = 200_000
-_CHUNK = 1 << 20  # windows of one text that are sorted out at a time
+_CHUNK = 1 << 20  # windows of one text that are sorted out at a time; bytes of texts whose words are hashed at a time
+_LONG = 64  # bytes of a word that is hashed by columns; longer ones are hashed one by one
 
 
 def gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -179,6 +187,134 @@ def _windows(width: int):
     return read
 
 
+@cache
+def _powers(n: int) -> tuple[np.ndarray, ...]:
+    """A number for each byte value, the first ``n`` powers of an odd number and those of its inverse."""
+    base = 0x9E3779B97F4A7C15
+    table = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
+    rows = [np.full(n, x, np.uint64) for x in (base, pow(base, -1, 1 << 64))]
+    for row in rows:
+        row[0] = 1
+    return table, *(np.multiply.accumulate(row) for row in rows)
+
+
+def word_hashes(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words of texts that lie end to end in ``data``, cut at ``edges``: where each starts, and a 64-bit hash of it."""
+    filled = np.concatenate(([False], (data != 32) & ((data < 9) | (data > 13)), [False]))
+    edge = np.zeros(len(data) + 1, bool)
+    edge[edges] = True
+    starts = np.flatnonzero(filled[1:] & (edge | ~filled[:-1]))
+    ends = np.flatnonzero(filled[:-1] & (edge | ~filled[1:]))
+    table, powers, inverses = _powers(_CHUNK + _LONG)
+    out = np.empty(len(starts), np.uint64)
+    cuts = np.searchsorted(starts, np.arange(0, len(data) + _CHUNK, _CHUNK))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        if a < b:
+            begin = starts[a:b] - starts[a]
+            end = np.minimum(ends[a:b] - starts[a], begin + _LONG)
+            sums = np.zeros(end[-1] + 1, np.uint64)
+            np.cumsum(table[data[starts[a] : starts[a] + end[-1]]] * powers[: end[-1]], out=sums[1:])
+            out[a:b] = (sums[end] - sums[begin]) * inverses[begin]
+    for i in np.flatnonzero(ends - starts > _LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return starts, out ^ (out >> np.uint64(32))
+
+
+def _word_anchors(texts: pa.Array, words: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """``(hashes, row, place, first window, last window, gram hash)`` of the anchors of many texts, in parts of bounded size."""
+    if not len(texts):
+        return
+    texts = texts.fill_null("").cast(pa.large_string())
+    _, offsets, values = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + _CHUNK, "right")) - 1)
+        edges = offsets[a : b + 1] - offsets[a]
+        if edges[-1]:
+            starts, hashes = word_hashes(np.frombuffer(values, np.uint8)[offsets[a] : offsets[b]], edges)
+            row = np.searchsorted(edges, starts, "right") - 1 + a
+            for start in range(0, len(hashes) - words + 1, _CHUNK):
+                part, own = (x[start : start + _CHUNK + words - 1] for x in (hashes, row))
+                grams = gram_hashes(part, gram)
+                at = window_minima(grams, words - gram + 1)
+                within = own[: len(at)] == own[words - 1 :]
+                turn = np.concatenate(([True], (at[1:] != at[:-1]) | ~within[1:] | ~within[:-1], [True]))
+                first, last = np.flatnonzero(within & turn[:-1]), np.flatnonzero(within & turn[1:])
+                yield part, own[first], at[first], first, last, grams[at[first]].view(np.int64)
+        a = b
+
+
+_STRETCH = {"key": pa.binary(), "gram": pa.int64(), "lead": pa.int32(), "digit": pa.binary()}
+
+
+def _stretch_rows(words: int, gram: int):
+    """First and second digit: each stretch of a text once; ``lead`` is 1 once for each of its grams."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, seen, met = batch.column(0).to_pylist(), set(), set()
+            for part, row, place, first, last, digit in _word_anchors(batch.column(1), words, gram):
+                raw, out = part.tobytes(), [[] for _ in _STRETCH]
+                for r, p, a, b, g in zip(*(x.tolist() for x in (row, place, first, last, digit)), strict=True):
+                    whole = xxhash.xxh3_128_digest(raw[8 * a : 8 * (b + words)], seed=p - a)
+                    if (r, whole) not in seen:
+                        seen.add((r, whole))
+                        for column, value in zip(out, (keys[r], g, int((r, g) not in met), whole), strict=True):
+                            column.append(value)
+                        met.add((r, g))
+                if len(row):  # a text lies in one part, but for its windows beyond a chunk
+                    seen, met = ({x for x in found if x[0] == row[-1]} for found in (seen, met))
+                yield _batch(dict(zip(_STRETCH, zip(out, _STRETCH.values(), strict=True), strict=True)))
+
+    return rows
+
+
+def _passage_windows(words: int, gram: int):
+    """Last digit: all words of single windows, each once for its text."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, todo, seen = batch.column(0).to_pylist(), np.unique(batch.column(2).flatten().to_numpy()), set()
+            for part, row, _, first, last, digit in _word_anchors(batch.column(1), words, gram):
+                raw, out, wanted = part.tobytes(), ([], []), np.isin(digit, todo)
+                for r, a, b in zip(*(x[wanted].tolist() for x in (row, first, last)), strict=True):
+                    for at in range(a, b + 1):
+                        whole = xxhash.xxh3_128_digest(raw[8 * at : 8 * (at + words)])
+                        if (r, whole) not in seen:
+                            seen.add((r, whole))
+                            out[0].append(keys[r])
+                            out[1].append(whole)
+                if len(row):
+                    seen = {x for x in seen if x[0] == row[-1]}
+                yield _batch({"key": (out[0], pa.binary()), "digit": (out[1], pa.binary())})
+
+    return rows
+
+
+def _share_passages(texts: DataFrame, words: int, gram: int, scratch: Scratch) -> DataFrame:
+    """Keys of the ``texts`` that hold a run of ``words`` words which another one holds too."""
+    found = scratch.save(texts.mapInArrow(_stretch_rows(words, gram), "key binary, gram long, lead int, digit binary"), "word-anchors")
+    shared = found.groupBy(F.col("gram").alias("g")).agg(F.sum("lead").alias("n")).where("n > 1").select("g")
+    left = scratch.save(found.join(shared, F.col("gram") == F.col("g")).select("key", "gram", "digit"), "word-stretches")
+    scratch.drop(found)
+    scratch.release()
+    whole = left.groupBy(F.col("gram").alias("g"), F.col("digit").alias("d")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    hit = left.join(whole, (F.col("gram") == F.col("g")) & (F.col("digit") == F.col("d")))
+    marked = scratch.save(hit.select(F.col("key").alias("k")).distinct(), "word-whole")
+    # the other texts, and all that has their grams
+    open_ = left.join(marked, F.col("key") == F.col("k"), "left_anti").select(F.col("gram").alias("g")).distinct()
+    todo = left.join(open_, F.col("gram") == F.col("g")).select("key", F.col("gram").alias("run"))
+    windows = _read_digits(texts, todo, scratch, _passage_windows(words, gram), "key binary, digit binary", "word-windows")
+    scratch.drop(left)
+    equal = windows.groupBy(F.col("digit").alias("d")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rest = windows.join(equal, F.col("digit") == F.col("d")).select(F.col("key").alias("k"))
+    all_ = scratch.save(marked.union(rest).distinct(), "word-marked")
+    scratch.drop(marked, windows)
+    scratch.release()
+    return all_
+
+
 def merge_spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs ``[start, end)`` covered by the given ones."""
     order = np.argsort(starts, kind="stable")
@@ -192,16 +328,22 @@ def merge_spans(starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int]]:
 
 
 def remove_repeats(
-    docs: DataFrame, width: int = 400, gram: int = 32, step: int = 64, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """``docs`` with ``kept`` (binary: what remains), ``n_bytes``, ``n_removed`` and ``spans`` (start, end)."""
+    docs: DataFrame, width: int = 400, gram: int = 32, step: int = 64, id_col: str = "doc_id", text_col: str = "text",
+    passage_words: int | None = None, passage_gram: int = 16,
+) -> DataFrame:
+    """``docs`` with ``kept`` (binary: what remains), ``n_bytes``, ``n_removed`` and ``spans`` (start, end).
+
+    ``passage_words`` adds ``shared_passage`` (1 or 0): a run of more words than that also stands in another row.
+    """
     scratch = Scratch(docs.sparkSession, "suffix")
-    columns = [c for c in docs.columns if c not in _ADDED or c in (id_col, text_col)]
+    added = _ADDED if passage_words is None else (*_ADDED, "shared_passage")
+    columns = [c for c in docs.columns if c not in added or c in (id_col, text_col)]
     inner = {c: f"d{i}" for i, c in enumerate(columns)}
     text = F.col(inner[text_col])
     rows = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in inner.items()])
     rows = rows.withColumn("key", row_key(F.col(inner[id_col]), text))
     texts = rows.select("key", text.alias("text"))
+    marked = None if passage_words is None else _share_passages(texts, passage_words + 1, passage_gram, scratch)
 
     found = scratch.save(texts.mapInArrow(_anchor_rows(width, gram), "key binary, place long, first long, last long, gram long, stretch binary"), "anchors")
     # first and second pass: how often each gram and each stretch occurs
@@ -237,10 +379,13 @@ def remove_repeats(
     scratch.drop(windows)
 
     runs = repeats[0].union(repeats[1]).union(repeats[2]).groupBy(F.col("key").alias("k")).agg(F.collect_set(F.struct("first", "end")).alias("runs"))
-    joined = rows.join(runs, F.col("key") == F.col("k"), "left").select(*inner.values(), "runs")
+    joined = rows.join(runs, F.col("key") == F.col("k"), "left").drop("k")
+    if marked is not None:
+        joined = joined.join(marked, F.col("key") == F.col("k"), "left").withColumn("shared_passage", F.col("k").isNotNull().cast("int"))
+    joined = joined.select(*inner.values(), *added[len(_ADDED) :], "runs")
     at = columns.index(text_col)
-    added = T._parse_datatype_string("kept binary, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>").fields
-    schema = T.StructType([*joined.schema.fields[:-1], *added])
+    results = T._parse_datatype_string("kept binary, n_bytes long, n_removed long, spans array<struct<start:long,end:long>>").fields
+    schema = T.StructType([*joined.schema.fields[:-1], *results])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -261,7 +406,7 @@ def remove_repeats(
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=schema.names)
 
     result = joined.mapInArrow(cut, schema)
-    return result.select(*[F.col(a).alias(c) for c, a in inner.items()], *_ADDED)
+    return result.select(*[F.col(a).alias(c) for c, a in inner.items()], *added)
 
 
 def _read_digits(texts: DataFrame, todo: DataFrame, scratch: Scratch, rows, schema: str, name: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -94,3 +95,61 @@ def test_query_against_all_windows(spark):
         r, n = rows[doc.doc_id], len((doc.text or "").encode())
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (n, removed, spans, hashlib.sha256(kept).hexdigest())
         assert r.n_kept == len(kept) and r.kept_text == kept.decode(errors="replace")
+
+
+def sharing(texts, words):
+    """Which texts hold a run of ``words`` words that another one holds too."""
+    runs = [{tuple(w[i : i + words]) for i in range(len(w) - words + 1)} for w in (re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode()) for t in texts)]
+    rows = Counter(x for own in runs for x in own)
+    return [int(any(rows[x] > 1 for x in own)) for own in runs]
+
+
+def test_word_hashes_depend_on_the_word_alone(monkeypatch):
+    texts = [b" ab\tabc", b"", b"abc", b"c\x0bab " + b"y" * 90 + b" " + b"y" * 91, b"ab", "\u00a0é".encode()]
+    data, edges = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    want = [w for t in texts for w in re.findall(rb"[^\x20\x09-\x0D]+", t)]
+    for chunk in (suffix_dedup._CHUNK, 5):
+        monkeypatch.setattr(suffix_dedup, "_CHUNK", chunk)
+        starts, hashes = suffix_dedup.word_hashes(data, edges)
+        assert [bytes(data[s : s + len(w)]) for s, w in zip(starts.tolist(), want, strict=True)] == want
+        assert len(set(zip(want, hashes.tolist(), strict=True))) == len(set(want)) == len(set(hashes.tolist()))
+
+
+def test_shared_passages_against_all_windows(spark, monkeypatch):
+    rng = random.Random(8)
+    noise = lambda n: [rng.choice("aé bb c. ddd e".split()) + rng.choice(["", "", "x", "y"]) for _ in range(n)]
+    passage, other = noise(30), noise(12)
+    texts = [None, "", "a", "x " * 200, "x x\tx\n" * 9, " ".join(noise(11))]
+    for _ in range(60):
+        parts = noise(rng.randrange(30))
+        a = rng.randrange(20)
+        parts += rng.choice([passage, other, passage[a : a + rng.randrange(14)], ["z", "zz"] * rng.randrange(9), 3 * noise(13), []]) + noise(rng.randrange(20))
+        texts.append(rng.choice([" ", "\n", " \t "]).join(parts))
+    texts += [texts[20], texts[21].replace(" ", "\n"), "Q" + texts[22] + "R"]
+    want = sharing(texts, 12)
+    assert 20 < sum(want) < len(texts) - 10
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for chunk, gram in ((suffix_dedup._CHUNK, 4), (40, 4), (40, 12), (suffix_dedup._CHUNK, 1)):
+        monkeypatch.setattr(suffix_dedup, "_CHUNK", chunk)
+        got = suffix_dedup.remove_repeats(docs.repartition(3), 400, passage_words=11, passage_gram=gram)
+        assert [r.shared_passage for r in got.orderBy("doc_id").collect()] == want
+    assert suffix_dedup.remove_repeats(docs.limit(0), 400, passage_words=11).collect() == []
+
+
+def test_query_marks_passages_of_over_50_words_below_400_bytes(spark, tmp_path):
+    rng = random.Random(5)
+    noise = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    long, short, within = noise(55), noise(50), noise(60)
+    texts = [noise(40) + " " + long, long + " " + noise(90), short + " " + noise(70), noise(20) + " " + short, f"{within} b {within}", noise(200), noise(80), None]
+    texts += [texts[6], long.replace(" ", "\n")]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op5_suffix_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r.shared_passage for r in rows] == sharing(texts, 51) == [1, 1, 0, 0, 0, 0, 1, 0, 1, 1]
+    # the contract's columns go by 400 bytes alone
+    assert [r.n_removed for r in rows] == [x[0] for x in plain(texts, 400)] and rows[0].n_removed == 0 < rows[6].n_removed
+
+
+def test_equal_rows_share_their_passage(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (1, text), (2, text[3:100])], "doc_id long, text string")
+    assert sorted((r.doc_id, r.shared_passage) for r in suffix_dedup.remove_repeats(docs, passage_words=50).collect()) == [(1, 1), (1, 1), (2, 0)]
