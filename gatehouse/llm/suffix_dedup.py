@@ -295,22 +295,23 @@ def _passage_windows(words: int, gram: int):
 def _share_passages(texts: DataFrame, words: int, gram: int, scratch: Scratch) -> DataFrame:
     """Keys of the ``texts`` that hold a run of ``words`` words which another one holds too."""
     found = scratch.save(texts.mapInArrow(_stretch_rows(words, gram), "key binary, gram long, lead int, digit binary"), "word-anchors")
-    shared = found.groupBy(F.col("gram").alias("g")).agg(F.sum("lead").alias("n")).where("n > 1").select("g")
+    # what is counted is written before it is joined: a join with a table can split a hot group, one on top of the count cannot
+    shared = scratch.save(found.groupBy(F.col("gram").alias("g")).agg(F.sum("lead").alias("n")).where("n > 1").select("g"), "word-grams")
     left = scratch.save(found.join(shared, F.col("gram") == F.col("g")).select("key", "gram", "digit"), "word-stretches")
-    scratch.drop(found)
+    scratch.drop(found, shared)
     scratch.release()
-    whole = left.groupBy(F.col("gram").alias("g"), F.col("digit").alias("d")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    whole = scratch.save(left.groupBy(F.col("gram").alias("g"), F.col("digit").alias("d")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "word-kinds")
     hit = left.join(whole, (F.col("gram") == F.col("g")) & (F.col("digit") == F.col("d")))
     marked = scratch.save(hit.select(F.col("key").alias("k")).distinct(), "word-whole")
     # the other texts, and all that has their grams
-    open_ = left.join(marked, F.col("key") == F.col("k"), "left_anti").select(F.col("gram").alias("g")).distinct()
+    open_ = scratch.save(left.join(marked, F.col("key") == F.col("k"), "left_anti").select(F.col("gram").alias("g")).distinct(), "word-open")
     todo = left.join(open_, F.col("gram") == F.col("g")).select("key", F.col("gram").alias("run"))
     windows = _read_digits(texts, todo, scratch, _passage_windows(words, gram), "key binary, digit binary", "word-windows")
-    scratch.drop(left)
-    equal = windows.groupBy(F.col("digit").alias("d")).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    scratch.drop(left, whole, open_)
+    equal = scratch.save(windows.groupBy(F.col("digit").alias("d")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "word-equal")
     rest = windows.join(equal, F.col("digit") == F.col("d")).select(F.col("key").alias("k"))
     all_ = scratch.save(marked.union(rest).distinct(), "word-marked")
-    scratch.drop(marked, windows)
+    scratch.drop(marked, windows, equal)
     scratch.release()
     return all_
 
