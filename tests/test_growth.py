@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from gatehouse.operators import screens
 from gatehouse.operators import statistics as st
 
 
@@ -18,3 +19,30 @@ def test_no_window_frame_reaches_to_the_end_of_its_range(spark):
     raw = [v * 50 / (i + 1) for i, (v, _) in enumerate(values)]
     want = {key: min(1.0, *raw[i:]) for i, (_, key) in enumerate(values)}
     assert {r.id: round(r.q, 12) for r in got.collect()} == {k: round(v, 12) for k, v in want.items()}
+
+
+def test_sketched_medians_and_bins_equal_the_full_order(spark, monkeypatch):
+    """Bounds from a sketch change no result: heavy ties, several groups, a null group, missing values."""
+    rows = [(None if i % 3 == 0 else f"g{i % 3}", None if i % 41 == 0 else float(i * 37 % 211) ** 2, i) for i in range(2500)]
+    rows += [("g1", 7.0, 2500 + i) for i in range(600)]
+    d = spark.createDataFrame(rows, "g string, v double, k int")
+    clean = d.where("v is not null")
+    read = lambda: (sorted(map(tuple, st.median(d, "v", ["g"]).collect()), key=str), st.median(d, "v").first().med, {r.k: r.bin for r in st.equal_bins(clean, "v", ["k"], 30).collect()})
+    whole = read()
+    monkeypatch.setattr(st, "RANGE_ROWS", 100)
+    asked = []
+    monkeypatch.setattr(st, "_zones", lambda *a, f=st._zones: asked.append(f(*a)) or asked[-1])
+    assert read() == whole and asked[0] is not None
+    monkeypatch.setattr(st, "MARGIN", 1e-9)  # bounds that miss: everything is ordered
+    assert read() == whole
+
+
+def test_wide_counts_give_the_statistics_of_long_ones_without_a_shuffle_by_guide(spark):
+    rows = [(f"q{i}", i % 9, s, a, (i * f) % 97 + (s != "i2") * (i % 11 > 0)) for i in range(200) for s, a, f in (("i1", "initial", 5), ("i2", "initial", 3), ("f1", "final", 7))]
+    long = spark.createDataFrame(rows, "guide string, gene int, sample string, arm string, n long")
+    wide = long.groupBy("guide", "gene").agg(F.collect_list(F.struct("sample", "arm", "n")).alias("cells"))
+    key = lambda d: {r.guide: tuple(None if x is None else round(x, 9) for x in r[1:]) for r in d.select("guide", "gene", "init", "fin", "lfc", "depletion").collect()}
+    assert key(screens.guide_stats(wide)) == key(screens.guide_stats(long))
+    thin = lambda c: key(screens.guide_stats(screens.thin(c, 9.0)))
+    assert thin(wide) == thin(long)
+    assert "exchange hashpartitioning(guide" not in plan(screens.guide_stats(st.held(wide)))
