@@ -264,12 +264,9 @@ SQL = {
         SELECT doc_id, array_to_string(list_filter([CASE WHEN a THEN 'EXACT_PRODUCT_IN_TRAIN' END, CASE WHEN b THEN 'SAME_PATENT_IN_TRAIN' END, CASE WHEN c THEN 'REACTION_DUP' END,
                CASE WHEN g THEN 'TEMPLATE_SEEN_IN_TRAIN' END], lambda x: x IS NOT NULL), ',') AS fired, (a::INT + b::INT + c::INT + g::INT)::DOUBLE AS score FROM x""",
     "kmer_knn": f"""WITH q AS ({_KMERS.format(key="item_id", table="benchmark")}), t AS ({_KMERS.format(key="doc_id", table="documents")}),
-        rare AS (SELECT kmer FROM t GROUP BY kmer HAVING count(*) <= greatest(1, floor(0.02 * (SELECT count(*) FROM documents)))),
-        sh AS (SELECT q.key AS query, t.key AS neighbour, count(*) AS shared FROM q JOIN rare USING (kmer) JOIN t USING (kmer) GROUP BY 1, 2),
-        cut AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY shared DESC, neighbour) AS r FROM sh QUALIFY r <= 50),
+        sh AS (SELECT q.key AS query, t.key AS neighbour, count(*) AS shared FROM q JOIN t USING (kmer) GROUP BY 1, 2),
         nq AS (SELECT key, count(*) AS n FROM q GROUP BY key), nt AS (SELECT key, count(*) AS n FROM t GROUP BY key),
-        al AS (SELECT c.query, c.neighbour, any_value(c.shared) AS shared, count(*) AS i FROM cut c JOIN q ON q.key = c.query JOIN t ON t.key = c.neighbour AND t.kmer = q.kmer GROUP BY 1, 2),
-        j AS (SELECT al.*, i / (nq.n + nt.n - i)::DOUBLE AS s FROM al JOIN nq ON nq.key = query JOIN nt ON nt.key = neighbour)
+        j AS (SELECT sh.*, shared / (nq.n + nt.n - shared)::DOUBLE AS s FROM sh JOIN nq ON nq.key = query JOIN nt ON nt.key = neighbour)
         SELECT query, row_number() OVER (PARTITION BY query ORDER BY s DESC, neighbour) AS rank, neighbour, shared, round(s, 6) AS similarity FROM j QUALIFY rank <= 5""",
     "random_split": """WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY md5('s1|' || doc_id), doc_id) AS i, count(*) OVER () AS n FROM documents)
         SELECT doc_id, CASE WHEN i <= floor(n * 0.8) THEN 'train' ELSE 'test' END AS split FROM r""",

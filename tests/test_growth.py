@@ -1,8 +1,10 @@
 """Steps whose cost must not outgrow the table, and searches without a cap, against plain versions."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from gatehouse.operators import screens
+from gatehouse.operators import leakage, screens
 from gatehouse.operators import statistics as st
 
 
@@ -46,3 +48,19 @@ def test_wide_counts_give_the_statistics_of_long_ones_without_a_shuffle_by_guide
     thin = lambda c: key(screens.guide_stats(screens.thin(c, 9.0)))
     assert thin(wide) == thin(long)
     assert "exchange hashpartitioning(guide" not in plan(screens.guide_stats(st.held(wide)))
+
+
+def test_kmer_search_leaves_no_frequent_kmer_and_no_candidate_out(spark):
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abc") for _ in range(6)) for _ in range(12)]
+    train = [(i, "shared passage " + " ".join(rng.choices(words, k=rng.randrange(1, 9)))) for i in range(150)] + [(150, ""), (151, None), (152, "shar")]
+    asked = [(i, "shared passage " + " ".join(rng.choices(words, k=4))) for i in range(9)] + [(9, "shared passage"), (10, "zzzzzzzz"), (11, "shar")]
+    grams = lambda x, k=5: {x[i : i + k] for i in range(len(x) - k + 1)} if len(x) >= k else {x} - {""}
+    want = []
+    for q, a in asked:
+        near = sorted((-len(grams(a) & grams(b)) / len(grams(a) | grams(b)), t, len(grams(a) & grams(b))) for t, b in train if b and grams(a) & grams(b))
+        want += [(q, i + 1, t, n, round(-s, 9)) for i, (s, t, n) in enumerate(near[:3])]
+    frame = lambda rows: spark.createDataFrame(rows, "key long, text string")
+    for block in (2000, 5):
+        got = leakage.kmer_search(frame(asked), frame(train), "key", "text", 5, 3, block).collect()
+        assert sorted((r.query, r.rank, r.neighbour, r.shared, round(r.similarity, 9)) for r in got) == sorted(want)
