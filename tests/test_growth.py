@@ -1,11 +1,14 @@
 """Steps whose cost must not outgrow the table, and searches without a cap, against plain versions."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
+from gatehouse.functions import sequences as S
 from gatehouse.operators import leakage, screens
 from gatehouse.operators import statistics as st
+from gatehouse.plans import catalog
 
 
 def plan(df):
@@ -64,3 +67,19 @@ def test_kmer_search_leaves_no_frequent_kmer_and_no_candidate_out(spark):
     for block in (2000, 5):
         got = leakage.kmer_search(frame(asked), frame(train), "key", "text", 5, 3, block).collect()
         assert sorted((r.query, r.rank, r.neighbour, r.shared, round(r.similarity, 9)) for r in got) == sorted(want)
+
+
+def test_base_counts_are_of_whole_texts_and_make_twenty_rows_at_most(spark, tmp_path):
+    texts = [(0, "Añ b-c,D e\U0001f600f"), (1, "a"), (2, ""), (3, None), (4, "zz"), (5, "x" * 5000), (6, "ab"), (6, "ba")]
+    spark.createDataFrame(texts, "doc_id long, text string").withColumns({"lang": F.lit("l"), "source": F.lit("s")}).write.parquet(str(tmp_path / "documents.parquet"))
+    base = dict(zip(S.LETTERS, S.BASES, strict=True))
+    counts = Counter()
+    for key, text in texts:
+        dna = "".join(base.get(c, "") for c in text or "")
+        counts.update((key, dna[i : i + k]) for k in (1, 2) for i in range(len(dna) - k + 1) if len(dna) > 1)
+    total = Counter()
+    for (key, kmer), n in counts.items():
+        total[key, len(kmer)] += n
+    got = catalog.queries()["kmer_freqs"](spark, str(tmp_path))
+    assert {(r.doc_id, r.kmer): r.freq for r in got.collect()} == {(d, w): round(n / total[d, len(w)], 6) for (d, w), n in counts.items()}
+    assert spark.createDataFrame(texts, "k long, t string").select(F.explode(S.base_counts("t"))).count() == 20 * 5
